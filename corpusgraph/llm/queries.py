@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.llm import canonical
 from corpusgraph.llm import term_frequency as tf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +29,27 @@ def p4_term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return tf.term_frequencies(_table(spark, folder, "triples"), "pmid", TERMS)
 
 
+TYPED = {"head_type": "entity_type", "relation": "relation", "tail_type": "entity_type"}
+
+
+def p3_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value that is no term as it stands, with the term meant and the score."""
+    return canonical.canonical_rows(_table(spark, folder, "triples"), "id1", _table(spark, folder, "vocab"), TYPED)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_canonical(spark, folder).select("id1", "field", "term")
+
+
+def p3_unmatched_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each value without a term occurs, by column."""
+    return p3_canonical(spark, folder).where(F.col("term") == canonical.UNMATCHED).groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Query] = {
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
+    "p3_unmatched_report": p3_unmatched_report,
     "p4_found": p4_found,
     "p4_term_frequencies": p4_term_frequencies,
 }
