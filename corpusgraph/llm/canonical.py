@@ -37,7 +37,7 @@ FORMER = {"phenology": "phenotype", "clinical_trial": "method", "pathogen": "spe
 _PREFIX = re.compile(r"^(?:type|entity|relation|label|value|class)\s*[=:]\s*")
 _REMARK = re.compile(r"(?:\s*[(\[][^()\[\]]*[)\]])+$")
 _INITIALS = re.compile(r"(?<![^_])[a-z](?:_[a-z])+(?![^_])")
-_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]{2})")
 _ENDINGS = re.compile(r"(?:ations?|ated|ating|ates?|ions?|ings?|ences?|ances?|ively|ive|ly|ed|es|s|ical|ic|al|aceous|ous|ies|y|e)$")
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import canonical
+from corpusgraph.functions.text import pmid_number
+from corpusgraph.llm import canonical, stable_sample, truncation
 from corpusgraph.llm import term_frequency as tf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,10 +47,39 @@ def p3_unmatched_report(spark: SparkSession, folder: str) -> DataFrame:
     return p3_canonical(spark, folder).where(F.col("term") == canonical.UNMATCHED).groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
+def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """A twentieth of all PMIDs, with the bucket of each."""
+    taken = stable_sample.sample(_table(spark, folder, "articles"), pmid_number("pmid"), 0.05)
+    return taken.select(F.col("key").alias("pmid"), "bucket")
+
+
+def _cut(spark: SparkSession, folder: str) -> DataFrame:
+    titles = F.col("doc_kind") == "headline"
+    return truncation.truncated(_table(spark, folder, "documents"), "doc_id", "text", "source", titles)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut(spark, folder).select("doc_id")
+
+
+def p9_source_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How many texts of each source are cut."""
+    return truncation.source_shares(_table(spark, folder, "documents"), _cut(spark, folder), "text", "source")
+
+
+def p9_length_spikes(spark: SparkSession, folder: str) -> DataFrame:
+    """The limits that show in the lengths of each source."""
+    return truncation.length_spikes(_table(spark, folder, "documents"), "text", "source")
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
     "p3_unmatched_report": p3_unmatched_report,
     "p4_found": p4_found,
     "p4_term_frequencies": p4_term_frequencies,
+    "p5_sample": p5_sample,
+    "p9_found": p9_found,
+    "p9_source_shares": p9_source_shares,
+    "p9_length_spikes": p9_length_spikes,
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from corpusgraph.functions.text import WHITE_SPACE
+from corpusgraph.functions.text import WHITE_CLASS, WHITE_SPACE
+from corpusgraph.llm import truncation
 
 #: White space as a SQL expression.
 _SPACE = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
@@ -32,3 +33,46 @@ SQL: dict[str, str] = {
     "p4_found": f"{_P4} select kind, term, mark from marked where mark is not null",
     "p4_term_frequencies": f"{_P4} select kind, term, occurrences, records, mark from marked",
 }
+
+_PMID = f"try_cast(nullif(regexp_extract(lower({_strip('pmid')}), '^(?:pmid)?[\\s:#=]*0*([0-9]{{1,18}})$', 1), '') as bigint)"
+
+SQL["p5_sample"] = f"""
+with keys as (select distinct {_PMID} as pmid from articles),
+placed as (select pmid, ('0x' || md5(pmid::varchar)[1:4])::int as bucket from keys where pmid is not null),
+ranked as (select range as bucket, row_number() over (order by md5('0:' || range), range) as place from range(65536))
+select pmid, bucket from placed join ranked using (bucket) where place <= ceil(65536 * 0.05)"""
+
+
+def _matches(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, $re${pattern}$re$)"
+
+
+_SPIKES = """
+sizes as (select distinct source, text, length(text) as chars, strlen(text) as bytes from documents where source is not null and length(text) > 0),
+counts as (select source, measure, size, count(*) as texts
+           from (select source, 'chars' as measure, chars as size from sizes union all select source, 'bytes', bytes from sizes) group by all),
+windows as (select *, floor(ln(size::double) * 1000) as scale, sum(texts) over (partition by source, measure) as every from counts),
+near as (select *, (sum(texts) over (partition by source, measure order by scale range between 50 preceding and 50 following) - texts)
+                   / greatest(1.0, size * 0.1) as around from windows),
+spikes as (select source, measure, size, texts, around from near where texts >= 5 and texts >= every * 0.01 and texts >= around * 8)"""
+
+SQL["p9_length_spikes"] = f"with {_SPIKES} select source, measure, size, texts, around::double as around from spikes"
+
+_CUT = f"""
+with {_SPIKES},
+ends as (select doc_id, source, length(text) as chars, strlen(text) as bytes, coalesce(doc_kind = 'headline', false) as title,
+                regexp_replace(right(text, {truncation.TAIL}), '(?:{WHITE_CLASS}|</?[a-zA-Z]{{1,10}}>)+$', '') as tail from documents),
+judged as (select *, {_matches("tail", truncation._OMITTED)} as sign,
+                  {_matches("tail", truncation._SENTENCE)} and not {_matches("tail", truncation._NUMBER)} as sentence,
+                  {" or ".join(_matches("tail", p) for p in truncation._CLOSERS)} as closer,
+                  {_matches("tail", truncation._LIST)} as listed,
+                  exists (select 1 from spikes s where s.source = ends.source
+                          and ((s.measure = 'chars' and s.size = chars) or (s.measure = 'bytes' and s.size = bytes))) as at_limit
+           from ends where tail != ''),
+cut as (select doc_id, source, at_limit from judged
+        where not title and (sign or not sentence) and not (not sign and (closer or (listed and not at_limit))))"""
+
+SQL["p9_found"] = f"{_CUT} select doc_id from cut"
+SQL["p9_source_shares"] = f"""{_CUT}
+select source, count(*) as texts, count(cut.doc_id) as cut, count(cut.doc_id) filter (at_limit) as by_limit, count(cut.doc_id) / count(*) as share
+from (select doc_id, source from documents where regexp_matches(text, '\\S')) d left join cut using (doc_id, source) group by source"""

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusgraph.functions.text import pystrip
 from corpusgraph.session import durable
@@ -67,7 +68,7 @@ def number_records(records: DataFrame, buckets: int = 256) -> DataFrame:
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(lists: pd.Series, bitmaps: pd.Series) -> pd.Series:
     def one(positions, bitmap):
         if positions is None:
