@@ -47,6 +47,9 @@ def _matches(column: str, pattern: str) -> str:
     return f"regexp_matches({column}, $re${pattern}$re$)"
 
 
+#: The end of a text, as long as the operator looks at it.
+_END = f"right(tail, {truncation.END})"
+
 _SPIKES = """
 sizes as (select distinct source, text, length(text) as chars, strlen(text) as bytes from documents where source is not null and length(text) > 0),
 counts as (select source, measure, size, count(*) as texts
@@ -62,9 +65,9 @@ _CUT = f"""
 with {_SPIKES},
 ends as (select doc_id, source, length(text) as chars, strlen(text) as bytes, coalesce(doc_kind = 'headline', false) as title,
                 regexp_replace(right(text, {truncation.TAIL}), '(?:{WHITE_CLASS}|</?[a-zA-Z]{{1,10}}>)+$', '') as tail from documents),
-judged as (select *, {_matches("tail", truncation._OMITTED)} as sign,
-                  {_matches("tail", truncation._SENTENCE)} and not {_matches("tail", truncation._NUMBER)} as sentence,
-                  {" or ".join(_matches("tail", p) for p in truncation._CLOSERS)} as closer,
+judged as (select *, {_matches(_END, truncation._OMITTED)} as sign,
+                  {_matches(_END, truncation._SENTENCE)} and not {_matches(_END, truncation._NUMBER)} as sentence,
+                  {" or ".join(_matches(_END, p) for p in truncation._CLOSERS)} as closer,
                   {_matches("tail", truncation._LIST)} as listed,
                   exists (select 1 from spikes s where s.source = ends.source
                           and ((s.measure = 'chars' and s.size = chars) or (s.measure = 'bytes' and s.size = bytes))) as at_limit
