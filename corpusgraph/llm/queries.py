@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import pmid_number
-from corpusgraph.llm import canonical, stable_sample, truncation
+from corpusgraph.llm import canonical, near_duplicates, stable_sample, truncation
 from corpusgraph.llm import term_frequency as tf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,24 @@ def p4_term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return tf.term_frequencies(_table(spark, folder, "triples"), "pmid", TERMS)
 
 
+#: Articles are alike by sequences of three words, from a likeness of one half on.
+ALIKE = {"length": 3, "threshold": 0.5}
+
+
+def article_text() -> Column:
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found, members = near_duplicates.near_duplicates(_table(spark, folder, "articles"), "rec_id", article_text(), **ALIKE)
+    return near_duplicates.expanded(found, members).select(F.col("a").alias("rec_id_a"), F.col("b").alias("rec_id_b"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of equal texts, its links and the group of each record."""
+    return near_duplicates.grouped(_table(spark, folder, "articles"), "rec_id", article_text(), **ALIKE).withColumnRenamed("key", "rec_id")
+
+
 TYPED = {"head_type": "entity_type", "relation": "relation", "tail_type": "entity_type"}
 
 
@@ -73,6 +91,8 @@ def p9_length_spikes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
     "p3_unmatched_report": p3_unmatched_report,
