@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgraph.functions.text import WHITE_CLASS, WHITE_SPACE
+from corpusgraph.functions.text import WHITE_SPACE
 from corpusgraph.llm import truncation
 
 #: White space as a SQL expression.
@@ -48,7 +48,7 @@ def _matches(column: str, pattern: str) -> str:
 
 
 #: The end of a text, as long as the operator looks at it.
-_END = f"right(tail, {truncation.END})"
+_END = f"regexp_replace(right(tail, {truncation.END}), '{truncation._TAG}', '', 'g')"
 
 _SPIKES = """
 sizes as (select distinct source, text, length(text) as chars, strlen(text) as bytes from documents where source is not null and length(text) > 0),
@@ -64,7 +64,7 @@ SQL["p9_length_spikes"] = f"with {_SPIKES} select source, measure, size, texts,
 _CUT = f"""
 with {_SPIKES},
 ends as (select doc_id, source, length(text) as chars, strlen(text) as bytes, coalesce(doc_kind = 'headline', false) as title,
-                regexp_replace(right(text, {truncation.TAIL}), '(?:{WHITE_CLASS}|</?[a-zA-Z]{{1,10}}>)+$', '') as tail from documents),
+                rtrim(right(text, {truncation.TAIL}), {_SPACE}) as tail from documents),
 judged as (select *, {_matches(_END, truncation._OMITTED)} as sign,
                   {_matches(_END, truncation._SENTENCE)} and not {_matches(_END, truncation._NUMBER)} as sentence,
                   {" or ".join(_matches(_END, p) for p in truncation._CLOSERS)} as closer,

@@ -14,10 +14,11 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.functions.text import WHITE_CLASS
+from corpusgraph.functions.text import WHITE_SPACE
 
 #: Signs of omission.
 _OMITTED = r"(?i)(?:\.{3,}|…|&hellip;|[\[(<]\s*(?:\.{3}|…|more|read more|truncated|cut|continued|cont\.?)\s*[\])>])$"
+_TAG = r"</?[a-zA-Z]{1,10}>"
 #: Marks that end a sentence, with what may close behind them.
 _SENTENCE = r"[.!?。！？｡][\"'”’»\)\]）】*]{0,3}$"
 #: A number that breaks off behind its point, inside an open bracket.
@@ -72,7 +73,7 @@ def length_spikes(texts: DataFrame, text: str, source: str, least: int = 5, shar
 
 def _endings(texts: DataFrame, key: str, text: str, source: str, titles: Column) -> DataFrame:
     """What is known, by itself, of each text that does not end as a sentence ends."""
-    bare = F.regexp_replace(F.right(F.col(text), F.lit(TAIL)), f"(?:{WHITE_CLASS}|</?[a-zA-Z]{{1,10}}>)+$", "")
+    bare = F.rtrim(F.right(F.col(text), F.lit(TAIL)), F.lit(WHITE_SPACE))
     shown = texts.select(
         F.col(key).alias("key"),
         F.col(source).alias("source"),
@@ -81,7 +82,7 @@ def _endings(texts: DataFrame, key: str, text: str, source: str, titles: Column)
         F.coalesce(titles, F.lit(False)).alias("title"),
         bare.alias("tail"),
     ).where("tail != ''")
-    end = F.right("tail", F.lit(END))
+    end = F.regexp_replace(F.right("tail", F.lit(END)), _TAG, "")
     # Nine texts in ten end as a sentence does; only the others meet the costlier patterns.
     open_ends = shown.where(~F.col("title") & (end.rlike(_OMITTED) | ~end.rlike(_SENTENCE) | end.rlike(_NUMBER)))
     return open_ends.select(
