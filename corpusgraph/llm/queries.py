@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import pmid_number
-from corpusgraph.llm import canonical, near_duplicates, stable_sample, truncation
+from corpusgraph.llm import canonical, history, near_duplicates, stable_sample, truncation
 from corpusgraph.llm import term_frequency as tf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,19 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return taken.select(F.col("key").alias("pmid"), "bucket")
 
 
+def p6_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record that an earlier batch has already, and why. The first half of the batches builds the index, the
+    other half comes in two further steps."""
+    articles = _table(spark, folder, "articles")
+    batches = [r["batch"] for r in articles.select("batch").distinct().orderBy("batch").collect()]
+    cuts = [batches[len(batches) * i // 4] for i in (2, 3) if len(batches) >= 4]
+    return history.replay(articles, "rec_id", "batch", article_text(), pmid_number("pmid"), cuts, **ALIKE)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_history(spark, folder).select("batch", F.col("key").alias("rec_id"))
+
+
 def _cut(spark: SparkSession, folder: str) -> DataFrame:
     titles = F.col("doc_kind") == "headline"
     return truncation.truncated(_table(spark, folder, "documents"), "doc_id", "text", "source", titles)
@@ -99,6 +112,8 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_term_frequencies": p4_term_frequencies,
     "p5_sample": p5_sample,
+    "p6_found": p6_found,
+    "p6_history": p6_history,
     "p9_found": p9_found,
     "p9_source_shares": p9_source_shares,
     "p9_length_spikes": p9_length_spikes,
