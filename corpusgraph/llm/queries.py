@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import pmid_number
-from corpusgraph.llm import canonical, history, near_duplicates, stable_sample, truncation
+from corpusgraph.llm import canonical, history, language, near_duplicates, stable_sample, truncation
 from corpusgraph.llm import term_frequency as tf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,25 @@ def p4_term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return tf.term_frequencies(_table(spark, folder, "triples"), "pmid", TERMS)
 
 
+LABELLED = ("rec_id", ["title", "abstract"], "lang")
+
+
+def p1_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of each record that has a wrong label or none or several languages, with confidence and problem."""
+    articles = _table(spark, folder, "articles")
+    return language.mislabelled(articles, *LABELLED, language.train(articles, *LABELLED)).withColumnRenamed("key", "rec_id")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_languages(spark, folder).select("rec_id", "lang")
+
+
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch in one language of every record."""
+    articles = _table(spark, folder, "articles")
+    return language.segments(articles, *LABELLED[:2], language.train(articles, *LABELLED)).withColumnRenamed("key", "rec_id")
+
+
 #: Articles are alike by sequences of three words, from a likeness of one half on.
 ALIKE = {"length": 3, "threshold": 0.5}
 
@@ -104,6 +123,9 @@ def p9_length_spikes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_languages": p1_languages,
+    "p1_segments": p1_segments,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
