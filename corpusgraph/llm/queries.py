@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import pmid_number
-from corpusgraph.llm import canonical, history, language, near_duplicates, stable_sample, truncation
+from corpusgraph.llm import canonical, contamination, history, language, near_duplicates, stable_sample, truncation
 from corpusgraph.llm import term_frequency as tf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_history(spark, folder).select("batch", F.col("key").alias("rec_id"))
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    items = _table(spark, folder, "eval_items")
+    return contamination.leaks(_table(spark, folder, "documents"), "doc_id", "text", items, "item_id", ["passage", "question"])
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_item_report(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many documents each item leaked."""
+    items = _table(spark, folder, "eval_items")
+    return contamination.reported(_leaks(spark, folder), items, "item_id").withColumnRenamed("item", "item_id")
+
+
 def _cut(spark: SparkSession, folder: str) -> DataFrame:
     titles = F.col("doc_kind") == "headline"
     return truncation.truncated(_table(spark, folder, "documents"), "doc_id", "text", "source", titles)
@@ -136,6 +151,8 @@ QUERIES: dict[str, Query] = {
     "p5_sample": p5_sample,
     "p6_found": p6_found,
     "p6_history": p6_history,
+    "p8_found": p8_found,
+    "p8_item_report": p8_item_report,
     "p9_found": p9_found,
     "p9_source_shares": p9_source_shares,
     "p9_length_spikes": p9_length_spikes,
