@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import pmid_number
-from corpusgraph.llm import canonical, contamination, history, language, near_duplicates, stable_sample, truncation
+from corpusgraph.llm import canonical, contamination, history, language, near_duplicates, packing, stable_sample, truncation
 from corpusgraph.llm import term_frequency as tf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_history(spark, folder).select("batch", F.col("key").alias("rec_id"))
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container and position of every text, in pieces where it exceeds 2,048 tokens."""
+    counts = packing.token_counts(_table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack(counts).withColumnRenamed("key", "doc_id")
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     items = _table(spark, folder, "eval_items")
     return contamination.leaks(_table(spark, folder, "documents"), "doc_id", "text", items, "item_id", ["passage", "question"])
@@ -151,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "p5_sample": p5_sample,
     "p6_found": p6_found,
     "p6_history": p6_history,
+    "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_item_report": p8_item_report,
     "p9_found": p9_found,
