@@ -52,3 +52,8 @@ def text_or_none(mode: str, column: Column | str) -> Column:
     if mode == "literal":
         return F.coalesce(value, F.lit("None"))
     raise ValueError(f"mode {mode!r} is none of empty, null, literal")
+
+
+def sql_strip(column: str) -> str:
+    """``pystrip`` as a SQL expression."""
+    return f"trim({column}, {' || '.join(f'chr({ord(c)})' for c in WHITE_SPACE)})"
