@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgraph.functions.text import WHITE_SPACE
+from corpusgraph.functions.text import sql_strip as _strip
 from corpusgraph.llm import truncation
 
-#: White space as a SQL expression.
-_SPACE = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
-
-
-def _strip(column: str) -> str:
-    return f"trim({column}, {_SPACE})"
-
-
 _P4 = f"""
 with parts as (
     select unnest([{{'kind': 'entity_type', 'term': head_type}}, {{'kind': 'entity_type', 'term': tail_type}},
@@ -64,7 +56,7 @@ SQL["p9_length_spikes"] = f"with {_SPIKES} select source, measure, size, texts,
 _CUT = f"""
 with {_SPIKES},
 ends as (select doc_id, source, length(text) as chars, strlen(text) as bytes, coalesce(doc_kind = 'headline', false) as title,
-                rtrim(right(text, {truncation.TAIL}), {_SPACE}) as tail from documents),
+                {_strip(f'right(text, {truncation.TAIL})').replace('trim(', 'rtrim(', 1)} as tail from documents),
 judged as (select *, {_matches(_END, truncation._OMITTED)} as sign,
                   {_matches(_END, truncation._SENTENCE)} and not {_matches(_END, truncation._NUMBER)} as sentence,
                   {" or ".join(_matches(_END, p) for p in truncation._CLOSERS)} as closer,
