@@ -1,9 +1,9 @@
 """Language of texts and of each stretch in another language, with a confidence.
 
 A linear softmax over averaged embeddings of hashed subwords, trained by stochastic gradient descent in numpy on a bounded
-sample of the labelled rows themselves. Labels are partly wrong, so the model is trained twice: rows that the first model
-contradicts firmly are left out of the second. Confidence is calibrated on held-out sentences, and a sentence below the
-confidence at which accepted ones are right often enough is rejected: it counts for no language.
+sample of the labelled rows themselves. Labels are partly wrong, so sentences whose label is contradicted by a model of the
+other half of the rows are left out. Confidence is calibrated on held-out sentences, and a sentence below the confidence at
+which accepted ones are right often enough is rejected: it counts for no language.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -148,34 +149,39 @@ def _amount(text: str) -> float:
     return sum(1 for w in found if not "㐀" <= w[0] <= "鿿") + ideographs / 2
 
 
-def _fit(texts: list[str], labels: np.ndarray, buckets: int, size: int, rounds: int, seed: int) -> Model:
+def _fit(texts: list[str], labels: np.ndarray, buckets: int, size: int, steps: int, seed: int) -> Model:
+    """``steps`` steps of gradient descent, each over 32 sentences, however many sentences there are.
+
+    Sentences of a rare label count for more, but at most for ten times as much as those of a common one: where labels are
+    wrong, a rare label stands on more texts of the common language than that weight could hide.
+    """
     rng = np.random.default_rng(seed)
     embeddings = rng.normal(0, 0.1, (buckets, size)).astype(np.float32)
     weights, bias = np.zeros((size, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32)
-    features = [np.array([b for w in _WORD.findall(t.lower()) for b in subwords(w, buckets)] or [0], np.int64) for t in texts]
+    parts = cache(lambda word: subwords(word, buckets))
+    features = [np.array([b for w in _WORD.findall(t.lower()) for b in parts(w)] or [0], np.int64) for t in texts]
     share = np.bincount(labels, minlength=len(LANGUAGES)).astype(np.float32)
     balance = (len(labels) / np.maximum(share, 1) / len(LANGUAGES))[labels].astype(np.float32)
-    steps, step, batch = rounds * len(texts), 0, 32
-    for _ in range(rounds):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            ids = np.concatenate([features[i] for i in some])
-            sizes = np.array([len(features[i]) for i in some])
-            mean = np.add.reduceat(embeddings[ids], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0) / sizes[:, None]
-            z = mean @ weights + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(some)), labels[some]] -= 1
-            p *= np.minimum(balance[some], 5)[:, None]
-            rate = 1 - step / steps
-            # A subword's share of a sentence is small, so embeddings take longer steps than the layer above them.
-            back = np.repeat((rate * p @ weights.T / sizes[:, None] * 10).astype(np.float32), sizes, axis=0)
-            weights -= rate * (mean.T @ p) / len(some) * 2
-            bias -= rate * p.mean(0) * 0.1
-            for d in range(size):
-                embeddings[:, d] -= np.bincount(ids, back[:, d], buckets)
-            step += len(some)
+    batch, order = 32, np.zeros(0, np.int64)
+    for step in range(steps):
+        while len(order) < batch:
+            order = np.concatenate((order, rng.permutation(len(texts))))
+        some, order = order[:batch], order[batch:]
+        ids = np.concatenate([features[i] for i in some])
+        sizes = np.array([len(features[i]) for i in some])
+        mean = np.add.reduceat(embeddings[ids], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0) / sizes[:, None]
+        z = mean @ weights + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(some)), labels[some]] -= 1
+        p *= np.clip(balance[some], 0.3, 3)[:, None]
+        rate = 1 - step / steps
+        # A subword's share of a sentence is small, so embeddings take longer steps than the layer above them.
+        back = np.repeat((rate * p @ weights.T / sizes[:, None] * 10).astype(np.float32), sizes, axis=0)
+        weights -= rate * (mean.T @ p) / len(some) * 2
+        bias -= rate * p.mean(0) * 0.1
+        for d in range(size):
+            embeddings[:, d] -= np.bincount(ids, back[:, d], buckets)
     return Model(embeddings, weights, bias)
 
 
@@ -195,36 +201,49 @@ def _calibrated(model: Model, texts: list[str], labels: np.ndarray, right: float
     return model
 
 
+def _agreed(texts: list[str], labels: np.ndarray, half: np.ndarray, fit) -> np.ndarray:
+    """The places of sentences whose label a model agrees with that has seen only rows of the other half. A model that has
+    seen a wrong label may have learnt it by heart, so no sentence is judged by its own half."""
+    kept = np.zeros(len(texts), bool)
+    for other in (0, 1):
+        ours, theirs = np.nonzero(half != other)[0], np.nonzero(half == other)[0]
+        if not len(ours) or not len(theirs):
+            kept[ours] = True
+            continue
+        p = fit([texts[i] for i in theirs], labels[theirs]).probabilities([texts[i] for i in ours])
+        kept[ours] = p.argmax(1) == labels[ours]
+    return np.nonzero(kept)[0]
+
+
 def train(
-    rows: DataFrame, key: str, text: list[str], label: str, per_language: int = 300, buckets: int = 1 << 14, size: int = 16,
-    rounds: int = 4, right: float = 0.995, seed: int = 7,
+    rows: DataFrame, key: str, text: list[str], label: str, most: int = 3000, buckets: int = 1 << 14, size: int = 8,
+    steps: int = 2400, right: float = 0.995, seed: int = 7,
 ) -> Model:
-    """A model from at most ``per_language`` rows of each language, the ones with the lowest hash of their key.
+    """A model from at most ``most`` labelled rows, the ones with the lowest hash of their key.
 
-    The sample is all that reaches the driver. A language without labelled rows is never found. With no labelled rows at
-    all every text is rejected.
+    The rows come in the proportions of the collection: of each language most labels are right, while of a rare label many
+    may be wrong. The sample is all that reaches the driver. A language without labelled rows is never found. With no labelled rows at all every text is
+    rejected.
     """
     labelled = rows.select(label_language(F.col(label)).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(text)])
-    texts, labels = [], []
-    for i, code in enumerate(LANGUAGES):
-        for row in labelled.where(F.col("lang") == code).orderBy("h").limit(per_language).collect():
-            for j in range(len(text)):
-                for _, s in sentences(row[f"t{j}"]):
-                    if _amount(s) >= 4:
-                        texts.append(s)
-                        labels.append(i)
+    texts, labels, half = [], [], []
+    for n, row in enumerate(labelled.where("lang is not null").orderBy("h").limit(most).collect()):
+        for j in range(len(text)):
+            for _, s in sentences(row[f"t{j}"]):
+                if _amount(s) >= 4:
+                    texts.append(s)
+                    labels.append(LANGUAGES.index(row["lang"]))
+                    half.append(n % 2)
     if not texts:
         return Model(np.zeros((buckets, size), np.float32), np.zeros((size, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32), threshold=2.0)
     target = np.array(labels)
-    first = _fit(texts, target, buckets, size, 2, seed)
-    p = first.probabilities(texts)
-    kept = np.nonzero(p[np.arange(len(texts)), target] >= 0.4)[0]
+    kept = _agreed(texts, target, np.array(half), lambda t, y: _fit(t, y, buckets, size, steps // 2, seed))
     rng = np.random.default_rng(seed)
     held = rng.random(len(kept)) < 0.1
     fitted = [texts[i] for i in kept[~held]]
     bare = [plain(t) for t in fitted]
     twice = np.concatenate((target[kept[~held]], target[kept[~held]]))
-    model = _fit(fitted + bare, twice, buckets, size, rounds, seed)
+    model = _fit(fitted + bare, twice, buckets, size, steps, seed)
     if held.any():
         model = _calibrated(model, [texts[i] for i in kept[held]], target[kept[held]], right)
     return model
