@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     context = spark.sparkContext
-    if not context.master.startswith("local["):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="corpusgraph-")
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
