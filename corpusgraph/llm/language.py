@@ -227,7 +227,11 @@ def train(
     """
     labelled = rows.select(label_language(F.col(label)).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(text)])
     texts, labels, half = [], [], []
-    for n, row in enumerate(labelled.where("lang is not null").orderBy("h").limit(most).collect()):
+    labelled = labelled.where("lang is not null")
+    # Hashes under a bound leave little more than the sample, so that tasks don't each send as many rows as it has.
+    bound = min(1.0, (most + 10 * most**0.5 + 100) / max(1, labelled.count()))
+    few = labelled.where(F.pmod("h", F.lit(1 << 40)) < int(bound * (1 << 40))) if bound < 1 else labelled
+    for n, row in enumerate(few.orderBy(F.pmod("h", F.lit(1 << 40)), "h").limit(most).collect()):
         for j in range(len(text)):
             for _, s in sentences(row[f"t{j}"]):
                 if _amount(s) >= 4:
