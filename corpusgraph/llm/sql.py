@@ -71,3 +71,19 @@ SQL["p9_found"] = f"{_CUT} select doc_id from cut"
 SQL["p9_source_shares"] = f"""{_CUT}
 select source, count(*) as texts, count(cut.doc_id) as cut, count(cut.doc_id) filter (at_limit) as by_limit, count(cut.doc_id) / count(*) as share
 from (select doc_id, source from documents where regexp_matches(text, '\\S')) d left join cut using (doc_id, source) group by source"""
+
+# Likeness by brute force: every pair of records that share a sequence of words, with what they share counted.
+_PAIRS = """
+texts as (select rec_id, batch, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}]+') as w from articles),
+sets as (select rec_id, batch, list_distinct(case when len(w) < 3 then [array_to_string(w, ' ')]
+                                             else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as s from texts),
+tokens as (select rec_id, batch, len(s) as n, unnest(s) as t from sets),
+shared as (select a.rec_id as x, b.rec_id as y, any_value(a.batch) as bx, any_value(b.batch) as by_, count(*) as c, any_value(a.n) + any_value(b.n) as n
+           from tokens a join tokens b on a.t = b.t and a.rec_id < b.rec_id group by 1, 2),
+alike as (select * from shared where c >= 0.5 * (n - c))"""
+
+SQL["p2_found"] = f"with {_PAIRS} select x as rec_id_a, y as rec_id_b from alike"
+SQL["p6_found"] = f"""
+with {_PAIRS}, numbers as (select rec_id, batch, {_PMID} as number from articles)
+select a.batch, a.rec_id from numbers a where exists (select 1 from numbers b where b.number = a.number and b.batch < a.batch)
+union select bx, x from alike where by_ < bx union select by_, y from alike where bx < by_"""
