@@ -7,8 +7,21 @@ from pyspark.sql import functions as F
 
 #: The characters that Python's ``str.isspace`` accepts; none lies above U+3000.
 WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-#: The same set as a Java character class.
-WHITE_CLASS = "[" + "".join(f"\\x{{{ord(c):04X}}}" for c in WHITE_SPACE) + "]"
+
+
+def _ranges(characters: str) -> str:
+    """A regular expression's class of the characters, neighbours as ranges, so that a character meets few tests."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:04X}}}" + (f"-\\x{{{b:04X}}}" if b > a else "") for a, b in out) + "]"
+
+
+#: The same set as a class of Java and RE2.
+WHITE_CLASS = _ranges(WHITE_SPACE)
 
 
 def _c(column: Column | str) -> Column:
