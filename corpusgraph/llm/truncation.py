@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import WHITE_SPACE
+from corpusgraph.session import durable
 
 #: Signs of omission.
 _OMITTED = r"(?i)(?:\.{3,}|…|&hellip;|[\[(<]\s*(?:\.{3}|…|more|read more|truncated|cut|continued|cont\.?)\s*[\])>])$"
@@ -106,7 +107,8 @@ def truncated(texts: DataFrame, key: str, text: str, source: str, titles: Column
     Only ends and lengths are shuffled, never texts; the spikes are a few rows for each source.
     """
     ends = _endings(texts, key, text, source, titles if titles is not None else F.lit(False))
-    limits = length_spikes(texts, text, source, **spikes)
+    # A few rows, kept because both joins below would count all lengths again.
+    limits = durable(length_spikes(texts, text, source, **spikes))
     chars = limits.where("measure = 'chars'").select("source", F.col("size").alias("chars"), F.lit(True).alias("at_chars"))
     octets = limits.where("measure = 'bytes'").select("source", F.col("size").alias("bytes"), F.lit(True).alias("at_bytes"))
     judged = (
