@@ -4,7 +4,7 @@ Latent semantic retrieval: the passages and questions of the items are cut into
 frequencies counted over the whole corpus, and a distributed randomised SVD of them gives a latent space. Windows of the
 corpus are compared with those of the items by cosine in that space, and what comes near is verified word by word: a run
 of an item's words in order, with at most one in six changed, dropped or added, in which the words that tell the item
-from the rest of the corpus agree.
+from the rest of the corpus agree. A run that stands in a document word for word needs no such words: it is looked up.
 
 The corpus is read once. A document becomes the numbers of its words in the items' vocabulary, with -1 for any other
 word; that loses nothing, as other words match no item. The items are a test set made by hand, so they, their vocabulary
@@ -34,6 +34,10 @@ _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 WINDOW, STEP = 20, 6
 #: Words of a run, changes that it may have, and the step between an item's windows.
 RUN, CHANGES, ITEM_STEP = 12, 2, 3
+#: Words that are taken as an item's own, where a document's words are counted, if they stand in its order.
+OWN = RUN - CHANGES
+#: A word in so few texts tells, however small the corpus.
+LEAST = 3
 
 
 def words(text: str) -> list[str]:
@@ -55,6 +59,7 @@ class Items:
     runs: np.ndarray  # every run of RUN words
     item: np.ndarray  # the item of each run
     passage: np.ndarray  # the text it is from; runs of one text follow one another
+    words_of: dict[int, np.ndarray]  # the words of each item
 
 
 def load_items(items: DataFrame, key: str, text: list[str], most: int = 20_000) -> Items:
@@ -63,15 +68,64 @@ def load_items(items: DataFrame, key: str, text: list[str], most: int = 20_000)
     if len(rows) > most:
         raise ValueError(f"more than {most} held-out items")
     vocabulary: dict[str, int] = {}
-    runs, item, passage = [], [], []
+    runs, item, passage, words_of = [], [], [], {}
     for n, (k, *texts) in enumerate(rows):
         for j, value in enumerate(texts):
             ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(value or "")]
+            words_of[k] = np.union1d(words_of.get(k, []), ids).astype(np.int64)
             for at in range(len(ids) - RUN + 1):
                 runs.append(ids[at : at + RUN])
                 item.append(k)
                 passage.append(n * len(texts) + j)
-    return Items(vocabulary, np.array(runs, np.int32).reshape(-1, RUN), np.array(item, np.int64), np.array(passage, np.int64))
+    return Items(vocabulary, np.array(runs, np.int32).reshape(-1, RUN), np.array(item, np.int64), np.array(passage, np.int64), words_of)
+
+
+def _hashes(rows: np.ndarray) -> np.ndarray:
+    """A number for each row of word numbers, equal for equal rows."""
+    total = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + rows[:, j].astype(np.uint64)
+    return total
+
+
+class Lookup:
+    """Finds the first ``length`` words of every run of items where they stand in documents word for word."""
+
+    def __init__(self, items: Items, length: int) -> None:
+        self.starts, self.item = items.runs[:, :length], items.item
+        if length < RUN:  # the last words of a text start no run
+            self.starts = np.concatenate([items.runs[:, j : j + length] for j in range(RUN - length + 1)])
+            self.item = np.tile(items.item, RUN - length + 1)
+            _, one = np.unique(np.column_stack((self.starts, self.item)), axis=0, return_index=True)
+            self.starts, self.item = self.starts[one], self.item[one]
+        hashes = _hashes(self.starts)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes, self.length = hashes[self.order], length
+
+    def found(self, coded: list[bytes], most: int = 200_000) -> set[tuple[int, int]]:
+        """(place in ``coded``, item), looked at in parts of about ``most`` words."""
+        out: set[tuple[int, int]] = set()
+        part, owners, held = [], [], 0
+        for n, raw in enumerate(coded):
+            part += [np.frombuffer(raw, np.int32), np.full(1, -1, np.int32)]  # no run goes on across other words
+            owners.append((n, len(part[-2]) + 1))
+            held += len(part[-2]) + 1
+            if held >= most or n == len(coded) - 1:
+                out |= self._part(np.concatenate(part), np.repeat(*np.array(owners).T))
+                part, owners, held = [], [], 0
+        return out
+
+    def _part(self, ids: np.ndarray, owners: np.ndarray) -> set[tuple[int, int]]:
+        if len(ids) < self.length:
+            return set()
+        rows = np.lib.stride_tricks.sliding_window_view(ids, self.length)
+        hashes = _hashes(rows)
+        low = np.searchsorted(self.hashes, hashes, "left")
+        n = np.searchsorted(self.hashes, hashes, "right") - low
+        at = np.repeat(np.arange(len(rows)), n)
+        r = self.order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(at))]
+        same = (self.starts[r] == rows[at]).all(1)
+        return set(zip(owners[at[same]].tolist(), self.item[r[same]].tolist(), strict=True))
 
 
 def encoded(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int]) -> DataFrame:
@@ -87,24 +141,46 @@ def encoded(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int
     return shown.mapInPandas(run, f"key {kind}, ids binary")
 
 
-def frequencies(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """In how many documents each word of the vocabulary occurs, and how many documents there are. Each task sends one
-    count for each word it saw."""
+def frequencies(coded: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
+    """In how many different texts each word of the vocabulary occurs, apart from the texts that hold an item with that
+    word; in how many of those; and how many different texts there are.
+
+    A text counts as holding an item if OWN words of it stand there word for word. So neither the copies of a leaked
+    passage nor those of the documents around it make its words common. Texts travel as the numbers of their words, once
+    from each task; each task sends one count for each word it saw.
+    """
+    size, lookup = len(items.vocabulary), Lookup(items, OWN)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.drop_duplicates("same")
+            held: dict[int, list[np.ndarray]] = {}
+            for n, item in lookup.found(list(batch["ids"])):
+                held.setdefault(n, []).append(items.words_of[item])
+            parts = []
+            for n, raw in enumerate(batch["ids"]):
+                ids = np.unique(np.frombuffer(raw, np.int32))
+                ids = ids[ids >= 0]
+                own = np.isin(ids, np.concatenate(held[n])) if n in held else np.zeros(len(ids), bool)
+                parts.append((ids[~own].tobytes(), ids[own].tobytes()))
+            yield pd.DataFrame({"same": batch["same"].to_numpy(), "apart": [p[0] for p in parts], "own": [p[1] for p in parts]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = 0, np.zeros(size + 1, np.int64)
+        seen = np.zeros((size + 1, 2), np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                seen[np.unique(np.frombuffer(ids, np.int32))] += 1  # -1 counts in the last place
-            total += len(batch)
-        seen[size] = total
-        at = np.nonzero(seen)[0]
-        yield pd.DataFrame({"word": at, "n": seen[at]})
-
-    counts = np.zeros(size + 1, np.int64)
-    for word, n in coded.select("ids").mapInPandas(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect():
+            for j, c in enumerate(("apart", "own")):
+                for ids in batch[c]:
+                    seen[np.frombuffer(ids, np.int32), j] += 1
+            seen[size, 0] += len(batch)
+        at = np.nonzero(seen.any(1))[0]
+        yield pd.DataFrame({"word": at, "apart": seen[at, 0], "own": seen[at, 1]})
+
+    texts = coded.select(F.xxhash64("ids").alias("same"), "ids").mapInPandas(split, "same bigint, apart binary, own binary")
+    one = texts.groupBy("same").agg(F.first("apart").alias("apart"), F.first("own").alias("own")).select("apart", "own")
+    counts = np.zeros((size + 1, 2), np.int64)
+    for word, *n in one.mapInPandas(run, "word bigint, apart bigint, own bigint").groupBy("word").agg(F.sum("apart"), F.sum("own")).collect():
         counts[word] = n
-    return counts[:size], int(counts[size])
+    return counts[:size, 0], counts[:size, 1], int(counts[size, 0])
 
 
 def latent_space(items: DataFrame, key: str, text: list[str], vocabulary: dict[str, int], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
@@ -161,9 +237,11 @@ class Searcher:
         q = weighted[self.items.runs[self.picked]].sum(1)
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
         self.telling = np.append(self.telling, False)
+        self.lookup = Lookup(self.items, RUN)
 
     def search(self, keys: list, coded: list[bytes]) -> list[tuple]:
         """(key, item) of every document that holds a run of an item."""
+        verbatim = {(keys[n], item) for n, item in self.lookup.found(coded)}
         rows, owners = [], []
         for key, raw in zip(keys, coded, strict=True):
             ids = np.frombuffer(raw, np.int32)
@@ -176,8 +254,8 @@ class Searcher:
                 rows.append(kept)
                 owners += [key] * len(kept)
         if not rows:
-            return []
-        windows, found = np.concatenate(rows), set()
+            return sorted(verbatim)
+        windows, found = np.concatenate(rows), verbatim
         for at in range(0, len(windows), 1024):
             found |= self._judged(windows[at : at + 1024], owners[at : at + 1024])
         return sorted(found)
@@ -235,8 +313,10 @@ def leaks(
 ) -> DataFrame:
     """(key, item) of every document that holds a run of an item.
 
-    A word of letters that at most ``telling_share`` of the documents hold tells items from the rest; a run must hold one,
-    and all telling words of a run must agree. A run with changes must hold two that do not stand together. Null texts give
+    A run that a document holds word for word is enough. A run with changes must hold two words that tell items from the
+    rest and do not stand together, and all telling words of it must agree. A word of letters tells if at most
+    ``telling_share`` of the different texts hold it, or most of those that do hold an item with that word; texts that hold
+    such an item do not count against it, so that items that leaked widely keep their telling words. Null texts give
     no rows; texts of any length are read whole; every copy of a document is reported; a document may hold several items.
     An empty corpus or an empty test set gives no rows. Other columns, whatever their names, are not read.
     """
@@ -246,10 +326,10 @@ def leaks(
     if not len(loaded.runs):
         return documents.sparkSession.createDataFrame([], schema)
     coded = durable(encoded(documents, key, text, loaded.vocabulary))
-    counts, total = frequencies(coded, len(loaded.vocabulary))
+    counts, own, total = frequencies(coded, loaded)
     idf = np.array([math.log((total + 1) / (c + 1)) + 0.01 for c in counts])
     letters = np.array([w.isalpha() and len(w) >= 5 for w in loaded.vocabulary])
-    telling = letters & (counts <= max(1, total * telling_share))
+    telling = letters & (counts <= np.maximum(own, max(LEAST, total * telling_share)))
     space = latent_space(items, item_key, item_text, loaded.vocabulary, idf, rank)
     searcher = Searcher(loaded, idf.astype(np.float32), space, telling, cosine)
 

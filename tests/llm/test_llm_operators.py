@@ -294,6 +294,28 @@ def test_leaks(spark, got):
         contamination.load_items(items, "item", ["p"], most=2)
 
 
+def test_leaks_of_a_third_of_all_rows(spark, got):
+    """A passage that leaked into a third of the rows, as it is and reworked, and one without any telling word."""
+    names = [f"zanqu{chr(97 + i)}telin" for i in range(12)]
+    common = "the level of this was given to the mice and rose in all cells that were left by half"
+    passage = f"Serum {names[0]} rose when {names[1]} was given to the mice and the level of {names[2]} fell by half in all the {names[3]} cells that were left."
+    other = f"After a week {names[0]} was seen again and {names[1]} was lost in most of the mice."
+    own = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    changed = passage.split()
+    changed[2] = changed[9] = "other"
+    lost = other.split()
+    lost[4] = "found"
+    texts = [f"{own[i]} {passage if i % 3 else ' '.join(changed)} {own[i]}" for i in range(200)] + [f"{own[i]} {common} {own[i]} again" for i in range(200, 600)]
+    texts += [" ".join(lost), other, common + " " + common, passage.replace(names[0], names[5]).replace(names[1], names[6]).replace(names[2], names[7]).replace(names[3], names[8])]
+    documents = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, other), (3, common)], "item long, p string")
+    found = contamination.leaks(documents, "id", "text", items, "item", ["p"])
+    want = {(i, 1) for i in range(200)} | {(i, 3) for i in range(200, 600)} | {(600, 2), (601, 2), (602, 3)}
+    assert set(got(found)) == want and found.count() == len(want)
+    few = documents.where("id in (0, 1, 2, 600, 601) or id between 200 and 280")
+    assert set(got(contamination.leaks(few, "id", "text", items, "item", ["p"]))) == {x for x in want if x[0] in (0, 1, 2, 600, 601) or 200 <= x[0] <= 280}
+
+
 def test_changes_are_edit_distances():
     runs = np.array([[1, 2, 3, 4]] * 4)
     texts = np.array([[9, 1, 2, 3, 4, 9], [1, 2, 9, 3, 4, 9], [1, 3, 4, 9, 9, 9], [1, 9, 9, 9, 9, 9]])
