@@ -140,6 +140,18 @@ def test_near_duplicates_are_those_of_brute_force(spark, got, length, threshold)
     assert near_duplicates.grouped(df.limit(0), "id", F.col("text")).count() == 0
 
 
+def test_no_link_of_a_large_family_is_missed(spark, got):
+    """A third of the rows rework one text, each place in one of two ways, so that no shingle of the family is rare."""
+    rng = random.Random(5)
+    family = [" ".join(f"w{j}{'x' if rng.random() < 0.12 else ''}" for j in range(60)) for _ in range(240)]
+    texts = family + [" ".join(rng.choices([f"v{j}" for j in range(400)], k=20)) for _ in range(480)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    bags = [bag(t, 3) for t in texts]
+    want = {(i, j) for i in range(len(bags)) for j in range(i + 1, len(bags)) if 2 * len(bags[i] & bags[j]) >= len(bags[i] | bags[j])}
+    found, members = near_duplicates.near_duplicates(df, "id", F.col("text"), 3, 0.5)
+    assert set(got(near_duplicates.expanded(found, members))) == want and len(want) > 500
+
+
 def test_many_copies_make_one_class(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, "one text that fills half of all rows").otherwise(F.concat(F.lit("own "), F.col("id").cast("string"), F.lit(" words here"))).alias("t"))
     found, members = near_duplicates.near_duplicates(df, "id", F.col("t"))
