@@ -182,6 +182,13 @@ def test_history_is_taken_up_again(spark, tmp_path):
     assert add(again, "b = 'c'").count() == 0 and again.found().count() == 1 and history.History(spark, path, 3, 0.5).steps == 3
 
 
+def test_history_keeps_pairs_exactly_at_the_threshold(spark, got):
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    df = spark.createDataFrame([(1, "a", text(35)), (2, "b", text(28))], "id long, b string, t string")
+    found = history.replay(df, "id", "b", F.col("t"), F.lit(None).cast("bigint"), ["b"], 1, 0.8)
+    assert got(found) == [("b", 2, "alike")]
+
+
 def test_shingles(spark):
     df = spark.createDataFrame([("A-b, C d",), ("a",), (None,)], "t string")
     sizes = [r[0] for r in df.select(F.size(shingles.shingles(shingles.words(F.col("t")), 3))).collect()]
