@@ -86,7 +86,9 @@ def export_report(rows: DataFrame, path: str, most: int = 100_000) -> int:
 
 def export_chart(counts: DataFrame, path: str, title: str, most: int = 2000) -> bool:
     """A bar chart of (value, count), rising upwards; False, and no file, if there is nothing to draw. Needs matplotlib."""
-    found = [(r["value"], r["count"]) for r in counts.orderBy("count", "first").limit(most).collect()]
+    found = [(r["value"], r["count"]) for r in counts.orderBy("count", "first").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values; a chart can't show them")
     if not found:
         return False
     import matplotlib

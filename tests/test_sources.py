@@ -188,3 +188,9 @@ def test_writers(spark, tmp_path, got):
     with pytest.raises(ValueError):
         sinks.export_rows(df, str(tmp_path / "x"), most=3)
     assert not sinks.export_chart(spark.createDataFrame([], "value string, count long, first long"), str(tmp_path / "c.pdf"), "t")
+
+
+def test_a_chart_leaves_no_value_out(spark, tmp_path):
+    counts = spark.createDataFrame([("a", 1, 0), ("b", 2, 1), ("c", 3, 2)], "value string, count long, first long")
+    with pytest.raises(ValueError, match="more than 2 values"):
+        sinks.export_chart(counts, str(tmp_path / "c.png"), "t", most=2)
