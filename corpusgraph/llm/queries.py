@@ -125,8 +125,7 @@ def p8_item_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cut(spark: SparkSession, folder: str) -> DataFrame:
-    titles = F.col("doc_kind") == "headline"
-    return truncation.truncated(_table(spark, folder, "documents"), "doc_id", "text", "source", titles)
+    return truncation.truncated(_table(spark, folder, "documents"), "doc_id", "text", "source", "doc_kind")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from corpusgraph.functions.text import sql_strip as _strip
-from corpusgraph.llm import truncation
 
 _P4 = f"""
 with parts as (
@@ -35,13 +34,6 @@ ranked as (select range as bucket, row_number() over (order by md5('0:' || range
 select pmid, bucket from placed join ranked using (bucket) where place <= ceil(65536 * 0.05)"""
 
 
-def _matches(column: str, pattern: str) -> str:
-    return f"regexp_matches({column}, $re${pattern}$re$)"
-
-
-#: The end of a text, as long as the operator looks at it.
-_END = f"regexp_replace(right(tail, {truncation.END}), '{truncation._TAG}', '', 'g')"
-
 _SPIKES = """
 sizes as (select distinct source, text, length(text) as chars, strlen(text) as bytes from documents where source is not null and length(text) > 0),
 counts as (select source, measure, size, count(*) as texts
@@ -53,25 +45,6 @@ spikes as (select source, measure, size, texts, around from near where texts >=
 
 SQL["p9_length_spikes"] = f"with {_SPIKES} select source, measure, size, texts, around::double as around from spikes"
 
-_CUT = f"""
-with {_SPIKES},
-ends as (select doc_id, source, length(text) as chars, strlen(text) as bytes, coalesce(doc_kind = 'headline', false) as title,
-                {_strip(f'right(text, {truncation.TAIL})').replace('trim(', 'rtrim(', 1)} as tail from documents),
-judged as (select *, {_matches(_END, truncation._OMITTED)} as sign,
-                  {_matches(_END, truncation._SENTENCE)} and not {_matches(_END, truncation._NUMBER)} as sentence,
-                  {" or ".join(_matches(_END, p) for p in truncation._CLOSERS)} as closer,
-                  {_matches("tail", truncation._LIST)} as listed,
-                  exists (select 1 from spikes s where s.source = ends.source
-                          and ((s.measure = 'chars' and s.size = chars) or (s.measure = 'bytes' and s.size = bytes))) as at_limit
-           from ends where tail != ''),
-cut as (select doc_id, source, at_limit from judged
-        where not title and (sign or not sentence) and not (not sign and (closer or (listed and not at_limit))))"""
-
-SQL["p9_found"] = f"{_CUT} select doc_id from cut"
-SQL["p9_source_shares"] = f"""{_CUT}
-select source, count(*) as texts, count(cut.doc_id) as cut, count(cut.doc_id) filter (at_limit) as by_limit, count(cut.doc_id) / count(*) as share
-from (select doc_id, source from documents where regexp_matches(text, '\\S')) d left join cut using (doc_id, source) group by source"""
-
 # Likeness by brute force: every pair of records that share a sequence of words, with what they share counted.
 _PAIRS = """
 texts as (select rec_id, batch, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}]+') as w from articles),
