@@ -358,7 +358,7 @@ def ends_of_texts():
     rows += [(f"whole{i}", sentences(rng.randrange(1, 9)), "limited" if i % 2 else "free", "note") for i in range(200)]
     rows += [(f"closer{i}", f"{sentences(2)} {closers[i % len(closers)]}", "free", "note") for i in range(90)]
     rows += [(f"title{i}", " ".join(rng.choices(words, k=8)).capitalize(), "free", "title") for i in range(40)]
-    rows += [(f"broken{i}", sentences(rng.randrange(3, 9))[: -rng.randrange(9, 30)].rstrip(".") + " given aft", "free", "note") for i in range(30)]
+    rows += [(f"broken{i}", sentences(rng.randrange(3, 9))[: -rng.randrange(9, 30)].rstrip(". "), "free", "note") for i in range(30)]
     rows += [("sign1", "It was seen that…", "free", "note"), ("sign2", sentences(2) + " It was (more)", "free", "note"), ("long", sentences(4000) + " And th", "free", "note")]
     return rows
 
