@@ -87,6 +87,12 @@ def summary(triples: DataFrame, types: list[str], relation: str, head: str = "he
     return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("bigint").alias("value")) for n in names])).alias("m")).select("m.*")
 
 
+def whole_number(text: Column) -> Column:
+    """The whole number that a text writes, with padding, a sign or single underscores between digits; null for all else."""
+    bare = pystrip(text)
+    return F.when(bare.rlike("^[+-]?[0-9]+(?:_[0-9]+)*$"), F.replace(bare, F.lit("_"), F.lit("")).try_cast("bigint"))
+
+
 def token_range(usage: DataFrame, tokens: str, key: str, order: Column) -> DataFrame:
     """One row: the least and largest count, whose keys come first in ``order`` with them, how many counts are valid and
     invalid, their exact median (of two middle ones the mean) and mean. Without valid counts all but the last two are null."""

@@ -110,8 +110,11 @@ def pending(todo: DataFrame, done: DataFrame, key: str = "pmid") -> DataFrame:
     return todo.join(finished, "pmid", "left_anti")
 
 
-def extract(todo: DataFrame, extractor: Extractor, system: str, at_once: int = 8, retry: Retry | None = None) -> DataFrame:
-    """One row of ``RESULT`` for every task. Lazy: keep it, or write it, before reading anything off it."""
+def extract(todo: DataFrame, extractor: Extractor, system: str, at_once: int | None = None, retry: Retry | None = None) -> DataFrame:
+    """One row of ``RESULT`` for every task. Lazy: keep it, or write it, before reading anything off it.
+
+    ``at_once`` bounds how many calls run side by side; without it there are as many as the cluster has cores.
+    """
     retry = retry or Retry()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +128,7 @@ def extract(todo: DataFrame, extractor: Extractor, system: str, at_once: int = 8
             yield frame.astype({c: "Int64" for c in ("completion_tokens", "prompt_tokens", "total_tokens")})
 
     asked = todo.select("pmid", "place", user_prompt(F.col("input_text")).alias("prompt"))
-    return asked.repartition(at_once).mapInPandas(run, RESULT)
+    return asked.repartition(at_once or todo.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, RESULT)
 
 
 def triples(results: DataFrame) -> DataFrame:

@@ -1,17 +1,57 @@
-"""Writers. Each writes a folder of parts, as many as the data has tasks, unless it says otherwise."""
+"""Writers. Each writes a folder of parts, as many as the data has tasks, unless it says otherwise.
+
+Exports make one file out of few rows on the driver, on any file system that the session knows.
+"""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import pystrip
 
-#: Fixed value: records of one file of a delivery.
-FILE_RECORDS = 5000
+#: Records of one file of a delivery, and the number of its first file.
+FILE_RECORDS, FIRST_FILE = 5000, 141
+
+
+def put(spark: SparkSession, path: str, content: str | bytes) -> None:
+    """One file, written by the driver; what was there is replaced."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(content.encode() if isinstance(content, str) else content)
+    finally:
+        out.close()
+
+
+def observed(rows: DataFrame, **counted: Column) -> tuple[DataFrame, Observation]:
+    """``rows``, and what is counted while they are written; see ``metrics``."""
+    seen = Observation()
+    return rows.observe(seen, *[c.cast("bigint").alias(n) for n, c in counted.items()]), seen
+
+
+def metrics(spark: SparkSession, seen: Observation) -> DataFrame:
+    """(metric, value) of a run that is over."""
+    return spark.createDataFrame(sorted(seen.get.items()), "metric string, value bigint")
+
+
+def write_arrays(rows: DataFrame, number: str, path: str, per_file: int = FILE_RECORDS, first: int = FIRST_FILE) -> None:
+    """Records as files of one JSON array each, ``per_file`` in a file, in the order of ``number``, which counts from 1.
+
+    Files are numbered from ``first`` on, with four digits at least, so a record's file and its place there follow from its
+    number alone. A file is made in one task, which its size bounds.
+    """
+    at = F.floor((F.col(number) - 1) / per_file) + first
+    record = F.to_json(F.struct(*[c for c in rows.columns if c != number]), {"ignoreNullFields": "false"})
+    parts = rows.select(F.lpad(at.cast("string"), F.greatest(F.lit(4), F.length(at.cast("string"))), F.lit("0")).alias("file"), F.struct(F.col(number).alias("n"), record.alias("r")).alias("x"))
+    arrays = parts.groupBy("file").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    value = F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["r"]), ",\n"), F.lit("]"))
+    arrays.select(value.alias("value"), "file").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def write_records(rows: DataFrame, path: str, per_file: int = FILE_RECORDS, mode: str = "overwrite") -> None:
@@ -54,11 +94,18 @@ def export_rows(rows: DataFrame, path: str, most: int = 1_000_000) -> int:
     found = rows.limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"more than {most} rows; write a folder instead")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([r.asDict(recursive=True) for r in found], f, ensure_ascii=False, indent=2)
+    put(rows.sparkSession, path, json.dumps([r.asDict(recursive=True) for r in found], ensure_ascii=False, indent=2))
     return len(found)
 
 
+def export_object(row: DataFrame, path: str) -> None:
+    """The one row of a report as one pretty JSON object in one file."""
+    found = row.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("a report has one row")
+    put(row.sparkSession, path, json.dumps(found[0].asDict(recursive=True), ensure_ascii=False, indent=2))
+
+
 def export_report(rows: DataFrame, path: str, most: int = 100_000) -> int:
     """A small report as one file with a header on the driver: tabs for ``.tsv``, a workbook for ``.xlsx``, else commas.
 
@@ -75,12 +122,13 @@ def export_report(rows: DataFrame, path: str, most: int = 100_000) -> int:
             book.active.append(row)
         book.save(path)
         return len(found)
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        if path.endswith(".tsv") and not found:
-            f.write("\n")
-        else:
-            writer = csv.writer(f, delimiter="\t" if path.endswith(".tsv") else ",", lineterminator="\n" if path.endswith(".tsv") else "\r\n")
-            writer.writerows([rows.columns, *found])
+    out = io.StringIO()
+    tabs = path.endswith(".tsv")
+    if tabs and not found:
+        out.write("\n")
+    else:
+        csv.writer(out, delimiter="\t" if tabs else ",", lineterminator="\n" if tabs else "\r\n").writerows([rows.columns, *found])
+    put(rows.sparkSession, path, out.getvalue())
     return len(found)
 
 

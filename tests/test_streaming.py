@@ -18,7 +18,7 @@ def test_stream_gives_what_a_batch_run_gives(spark, tmp_path, got):
         part.write.mode("append").parquet(source)
         run()
     run()  # a restart without new data asks nothing again
-    done = spark.read.option("recursiveFileLookup", True).schema(extraction.RESULT).parquet(results)
+    done = spark.read.schema(extraction.RESULT).parquet(f"{results}/results")
     assert got(done, "pmid", "place") == [("1", 1), ("2", 2), ("3", 4)]
     batch = extraction.extract(extraction.tasks(first.unionByName(second.where("pmid = '3'")), "pmid", "t", "a", "p"), extraction.StubExtractor(), "s")
     assert got(extraction.triples(done), "pmid", "raw") == got(extraction.triples(batch), "pmid", "raw")
