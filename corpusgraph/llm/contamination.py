@@ -60,24 +60,25 @@ class Items:
     item: np.ndarray  # the item of each run
     passage: np.ndarray  # the text it is from; runs of one text follow one another
     words_of: dict[int, np.ndarray]  # the words of each item
+    answers: np.ndarray  # for each run, which of its words are in the item's answer
 
 
-def load_items(items: DataFrame, key: str, text: list[str], most: int = 20_000) -> Items:
-    """The items, of which ``most`` are taken at most; above that they are refused. Texts under RUN words have no runs."""
-    rows = items.select(F.col(key).cast("bigint"), *text).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} held-out items")
+def load_items(rows: list) -> Items:
+    """The items of rows (key, one or several texts, answer). Texts under RUN words have no runs."""
     vocabulary: dict[str, int] = {}
-    runs, item, passage, words_of = [], [], [], {}
-    for n, (k, *texts) in enumerate(rows):
+    runs, item, passage, words_of, answers = [], [], [], {}, []
+    for n, (k, *texts, answer) in enumerate(rows):
+        said = {w for w in words(answer or "") if len(w) >= 5}
         for j, value in enumerate(texts):
             ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(value or "")]
             words_of[k] = np.union1d(words_of.get(k, []), ids).astype(np.int64)
+            meant = {vocabulary[w] for w in said if w in vocabulary}
             for at in range(len(ids) - RUN + 1):
                 runs.append(ids[at : at + RUN])
+                answers.append([i in meant for i in runs[-1]])
                 item.append(k)
                 passage.append(n * len(texts) + j)
-    return Items(vocabulary, np.array(runs, np.int32).reshape(-1, RUN), np.array(item, np.int64), np.array(passage, np.int64), words_of)
+    return Items(vocabulary, np.array(runs, np.int32).reshape(-1, RUN), np.array(item, np.int64), np.array(passage, np.int64), words_of, np.array(answers, bool).reshape(-1, RUN))
 
 
 def _hashes(rows: np.ndarray) -> np.ndarray:
@@ -183,7 +184,7 @@ def frequencies(coded: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray,
     return counts[:size, 0], counts[:size, 1], int(counts[size, 0])
 
 
-def latent_space(items: DataFrame, key: str, text: list[str], vocabulary: dict[str, int], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
+def latent_space(items: DataFrame, text: list[str], vocabulary: dict[str, int], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
     """The leading right singular vectors of the TF-IDF windows of the items' texts, words by ``rank``.
 
     A randomised SVD, distributed over the rows: every task multiplies its windows with the current basis and sends back
@@ -215,6 +216,19 @@ def latent_space(items: DataFrame, key: str, text: list[str], vocabulary: dict[s
     return np.ascontiguousarray(basis[:, :rank], np.float32)
 
 
+def cells_of(vectors: np.ndarray, size: int = 16, rounds: int = 8, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, cell of each vector): cells of about ``size`` vectors by k-means on the sphere."""
+    picked = np.random.default_rng(seed).permutation(len(vectors))[: max(1, len(vectors) // size)]
+    centres = vectors[picked]
+    for _ in range(rounds):
+        cell = (vectors @ centres.T).argmax(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, cell, vectors)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(length > 0, total / np.maximum(length, 1e-9), centres)
+    return centres, (vectors @ centres.T).argmax(1)
+
+
 @dataclass
 class Searcher:
     """Finds the runs of items in coded documents."""
@@ -224,65 +238,96 @@ class Searcher:
     space: np.ndarray
     telling: np.ndarray
     cosine: float
+    near: float
 
     def __post_init__(self) -> None:
         size = len(self.items.vocabulary)
-        weighted = np.zeros((size + 1, self.space.shape[1]), np.float32)
-        weighted[:size] = self.space * self.idf[:, None]
-        self.weighted = weighted  # the last row is for other words and the filling of windows
+        # The last row is for other words and the filling of windows.
+        self.weighted = np.zeros((size + 1, self.space.shape[1]), np.float32)
+        self.weighted[:size] = self.space * self.idf[:, None]
+        self.squared = np.append(self.idf**2, 0).astype(np.float32)
         last = np.append(np.diff(self.items.passage) != 0, True)
         starts = np.nonzero(np.append(True, np.diff(self.items.passage) != 0))[0]
         within = np.arange(len(self.items.runs)) - np.repeat(starts, np.diff(np.append(starts, len(self.items.runs))))
         self.picked = np.nonzero((within % ITEM_STEP == 0) | last)[0]
-        q = weighted[self.items.runs[self.picked]].sum(1)
-        self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+        runs = self.items.runs[self.picked]
+        self.queries = self._latent(runs)
+        unit = self.queries / np.maximum(np.linalg.norm(self.queries, axis=1, keepdims=True), 1e-9)
+        self.centres, cell = cells_of(unit)
+        self.members = [np.nonzero(cell == c)[0] for c in range(len(self.centres))]
         self.telling = np.append(self.telling, False)
         self.lookup = Lookup(self.items, RUN)
 
-    def search(self, keys: list, coded: list[bytes]) -> list[tuple]:
-        """(key, item) of every document that holds a run of an item."""
-        verbatim = {(keys[n], item) for n, item in self.lookup.found(coded)}
-        rows, owners = [], []
-        for key, raw in zip(keys, coded, strict=True):
+    def _latent(self, windows: np.ndarray) -> np.ndarray:
+        """The part of each window's TF-IDF vector, taken as of length one, that lies in the latent space."""
+        length = np.sqrt(np.maximum(self.squared[windows].sum(1), 1e-9))
+        total = np.zeros((len(windows), self.weighted.shape[1]), np.float32)
+        for j in range(windows.shape[1]):
+            total += self.weighted[windows[:, j]]
+        return total / length[:, None]
+
+    def search(self, keys: list, coded: list[bytes], most: int = 20_000) -> list[tuple]:
+        """(key, item) of every document that holds a run of an item; windows are looked at ``most`` at a time."""
+        found = {(keys[n], item) for n, item in self.lookup.found(coded)}
+        rows, owners, held = [], [], 0
+        for n, raw in enumerate(coded):
             ids = np.frombuffer(raw, np.int32)
-            hot = self.telling[ids]
-            if hot.any():
-                padded = np.concatenate((ids, np.full(WINDOW, -1, np.int32)))
-                starts = np.arange(0, max(1, len(ids) - RUN + STEP), STEP)
+            padded = np.concatenate((ids, np.full(WINDOW, -1, np.int32)))
+            for low in range(0, max(1, len(ids) - RUN + STEP), STEP * most):  # a long document in parts
+                starts = np.arange(low, min(low + STEP * most, max(1, len(ids) - RUN + STEP)), STEP)
                 windows = padded[starts[:, None] + np.arange(WINDOW)]
-                kept = windows[self.telling[windows].any(1)]
-                rows.append(kept)
-                owners += [key] * len(kept)
-        if not rows:
-            return sorted(verbatim)
-        windows, found = np.concatenate(rows), verbatim
-        for at in range(0, len(windows), 1024):
-            found |= self._judged(windows[at : at + 1024], owners[at : at + 1024])
+                # A run with its changes leaves so many words of items in a window.
+                windows = windows[(windows >= 0).sum(1) >= RUN - CHANGES]
+                rows.append(windows)
+                owners.append(np.full(len(windows), n))
+                held += len(windows)
+                if held >= most:
+                    found |= self._judged(np.concatenate(rows), np.concatenate(owners), keys)
+                    rows, owners, held = [], [], 0
+        if held:
+            found |= self._judged(np.concatenate(rows), np.concatenate(owners), keys)
         return sorted(found)
 
-    def _judged(self, windows: np.ndarray, owners: list) -> set[tuple]:
-        d = self.weighted[windows].sum(1)
-        d /= np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-9)
-        w, q = np.nonzero(d @ self.queries.T >= self.cosine)
-        # All runs that start before the next picked one of the same text.
-        near = self.picked[q][:, None] + np.arange(1 - ITEM_STEP, ITEM_STEP)
-        ok = (near >= 0) & (near < len(self.items.runs))
-        near = np.where(ok, near, self.picked[q][:, None])
-        ok &= self.items.passage[near] == self.items.passage[self.picked[q]][:, None]
-        pairs = np.unique(np.stack((np.repeat(w, near.shape[1])[ok.ravel()], near.ravel()[ok.ravel()]), 1), axis=0)
+    def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, query) of a cosine of at least ``cosine`` in the latent space, looked for in the cells near a window."""
+        latent = self._latent(windows)
+        close = latent @ self.centres.T >= self.near * np.linalg.norm(latent, axis=1, keepdims=True)
+        w, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c, members in enumerate(self.members):
+            some = np.nonzero(close[:, c])[0]
+            if len(some) and len(members):
+                i, j = np.nonzero(latent[some] @ self.queries[members].T >= self.cosine)
+                w.append(some[i])
+                q.append(members[j])
+        return np.concatenate(w), np.concatenate(q)
+
+    def _judged(self, windows: np.ndarray, owners: np.ndarray, keys: list) -> set[tuple]:
+        w, q = self.candidates(windows)
         out: set[tuple] = set()
-        for at in range(0, len(pairs), 50_000):
-            w, r = pairs[at : at + 50_000].T
-            out |= {(owners[i], int(self.items.item[j])) for i, j in self._verified(windows, w, r)}
+        for at in range(0, len(w), 50_000):
+            # All runs that start before the next picked one of the same text.
+            near = self.picked[q[at : at + 50_000]][:, None] + np.arange(1 - ITEM_STEP, ITEM_STEP)
+            ok = (near >= 0) & (near < len(self.items.runs))
+            near = np.where(ok, near, 0)
+            ok &= self.items.passage[near] == self.items.passage[self.picked[q[at : at + 50_000]]][:, None]
+            of = np.broadcast_to(w[at : at + 50_000][:, None], near.shape)
+            pairs = np.unique(of[ok] * len(self.items.runs) + near[ok])
+            for i, j in self._verified(windows, pairs // len(self.items.runs), pairs % len(self.items.runs)):
+                out.add((keys[owners[i]], int(self.items.item[j])))
         return out
 
     def _verified(self, windows: np.ndarray, w: np.ndarray, r: np.ndarray) -> Iterator[tuple[int, int]]:
         runs, texts = self.items.runs[r], windows[w]
-        present = (runs[:, :, None] == texts[:, None, :]).any(2)
-        telling = self.telling[runs]
-        # The telling words agree: this is the answer check of a paraphrase, and it comes first since it is cheap.
+        # What a passage says lies in its telling words and the words of its answer: in a paraphrase they must agree. This
+        # costs less than the longest common subsequence, so it comes first.
+        telling = self.telling[runs] | (self.items.answers[r] & (runs >= 0))
+        present = np.zeros(runs.shape, bool)
+        for j in range(runs.shape[1]):
+            present[:, j] = (texts == runs[:, j, None]).any(1)
         likely = (present.sum(1) >= RUN - CHANGES) & (telling & present).any(1) & ~(telling & ~present).any(1)
         w, r, runs, texts, telling = w[likely], r[likely], runs[likely], texts[likely], telling[likely]
+        likely = _common(runs, texts) >= RUN - CHANGES
+        w, r, runs, texts, telling = w[likely], r[likely], runs[likely], texts[likely], telling[likely]
         if not len(w):
             return
         changes = _changes(runs, texts)
@@ -292,6 +337,18 @@ class Searcher:
         yield from zip(w[good].tolist(), r[good].tolist(), strict=True)
 
 
+def _common(runs: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of each run and its text."""
+    last = np.zeros((len(runs), texts.shape[1] + 1), np.int8)
+    for i in range(runs.shape[1]):
+        row = np.zeros_like(last)
+        same = runs[:, i, None] == texts
+        for j in range(texts.shape[1]):
+            row[:, j + 1] = np.maximum(np.where(same[:, j], last[:, j] + 1, last[:, j + 1]), row[:, j])
+        last = row
+    return last.max(1)
+
+
 def _changes(runs: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """The fewest words changed, dropped or added that make each run of a stretch of its text."""
     last = np.zeros((len(runs), texts.shape[1] + 1), np.int8)
@@ -308,21 +365,34 @@ def _changes(runs: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 def leaks(
-    documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: list[str],
-    rank: int = 256, cosine: float = 0.3, telling_share: float = 0.01,
+    documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: list[str], answer: str | None = None,
+    rank: int = 256, cosine: float = 0.35, near: float = 0.2, telling_share: float = 0.01, at_once: int = 20_000,
 ) -> DataFrame:
     """(key, item) of every document that holds a run of an item.
 
     A run that a document holds word for word is enough. A run with changes must hold two words that tell items from the
-    rest and do not stand together, and all telling words of it must agree. A word of letters tells if at most
-    ``telling_share`` of the different texts hold it, or most of those that do hold an item with that word; texts that hold
-    such an item do not count against it, so that items that leaked widely keep their telling words. Null texts give
-    no rows; texts of any length are read whole; every copy of a document is reported; a document may hold several items.
-    An empty corpus or an empty test set gives no rows. Other columns, whatever their names, are not read.
+    rest and do not stand together, and all telling words of it must agree, and those of the item's ``answer``. A word of
+    letters tells if at most ``telling_share`` of the different texts hold it, or most of those that do hold an item with
+    that word; texts that hold such an item do not count against it, so that items that leaked widely keep their telling
+    words. Null texts give no rows; texts of any length are read whole; every copy of a document is reported; a document may
+    hold several items. An empty corpus or an empty test set gives no rows. Other columns, whatever their names, are not read.
+
+    Items are searched for ``at_once`` at a time, which bounds what a worker holds; more of them take more passes.
     """
-    loaded = load_items(items, item_key, item_text)
     kind = documents.schema[key].dataType.simpleString()
     schema = f"key {kind}, item bigint"
+    said = F.col(answer) if answer else F.lit(None).cast("string")
+    rows = items.select(F.col(item_key).cast("bigint").alias("item"), *item_text, said.alias("said")).where("item is not null")
+    parts = -(-rows.count() // at_once)
+    found = documents.sparkSession.createDataFrame([], schema)
+    for n in range(parts):
+        part = rows.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == n)
+        found = found.unionByName(_leaks_of(documents, key, text, part, item_text, schema, rank, cosine, near, telling_share))
+    return found
+
+
+def _leaks_of(documents: DataFrame, key: str, text: str, items: DataFrame, item_text: list[str], schema: str, rank: int, cosine: float, near: float, telling_share: float) -> DataFrame:
+    loaded = load_items(items.select("item", *item_text, "said").orderBy("item").collect())
     if not len(loaded.runs):
         return documents.sparkSession.createDataFrame([], schema)
     coded = durable(encoded(documents, key, text, loaded.vocabulary))
@@ -330,8 +400,8 @@ def leaks(
     idf = np.array([math.log((total + 1) / (c + 1)) + 0.01 for c in counts])
     letters = np.array([w.isalpha() and len(w) >= 5 for w in loaded.vocabulary])
     telling = letters & (counts <= np.maximum(own, max(LEAST, total * telling_share)))
-    space = latent_space(items, item_key, item_text, loaded.vocabulary, idf, rank)
-    searcher = Searcher(loaded, idf.astype(np.float32), space, telling, cosine)
+    space = latent_space(items, item_text, loaded.vocabulary, idf, rank)
+    searcher = Searcher(loaded, idf.astype(np.float32), space, telling, cosine, near)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

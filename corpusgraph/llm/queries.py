@@ -111,7 +111,7 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     items = _table(spark, folder, "eval_items")
-    return contamination.leaks(_table(spark, folder, "documents"), "doc_id", "text", items, "item_id", ["passage", "question"])
+    return contamination.leaks(_table(spark, folder, "documents"), "doc_id", "text", items, "item_id", ["passage", "question"], "answer")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -309,8 +309,7 @@ def test_leaks(spark, got):
     assert got(contamination.reported(found, items, "item")) == [(7, 7), (8, 0), (9, 0)]
     assert contamination.leaks(documents.limit(0), "id", "text", items, "item", ["p", "q"]).count() == 0
     assert contamination.leaks(documents, "id", "text", items.limit(0), "item", ["p", "q"]).count() == 0
-    with pytest.raises(ValueError):
-        contamination.load_items(items, "item", ["p"], most=2)
+    assert set(got(contamination.leaks(documents, "id", "text", items, "item", ["p", "q"], at_once=1))) == set(got(found))
 
 
 def test_leaks_of_a_third_of_all_rows(spark, got):
@@ -335,6 +334,50 @@ def test_leaks_of_a_third_of_all_rows(spark, got):
     assert set(got(contamination.leaks(few, "id", "text", items, "item", ["p"]))) == {x for x in want if x[0] in (0, 1, 2, 600, 601) or 200 <= x[0] <= 280}
 
 
+def test_answers_of_paraphrases_agree(spark, got):
+    """A common word that the answer names must not be changed in a paraphrase."""
+    passage = "serumlevel zanquatelin fell in mice given water with brandolex food every day then"
+    changed = passage.replace("fell", "rose")
+    rng, filler = random.Random(8), "in the end the level fell rose in mice that were given water every day together "
+    rows = [(1, passage), (2, changed), *[(10 + i, filler + " ".join(rng.choices(filler.split(), k=20))) for i in range(300)]]
+    documents = spark.createDataFrame(rows, "id long, text string")
+    items = spark.createDataFrame([(7, passage, "It has fallen, serumlevel falls"), (8, passage, "water stayed every where")], "item long, p string, a string")
+    assert (2, 7) in got(contamination.leaks(documents, "id", "text", items, "item", ["p"], "a"))
+    other = documents.withColumn("text", F.when(F.col("id") == 2, F.replace("text", F.lit("water"), F.lit("bread"))).otherwise(F.col("text")))
+    assert set(got(contamination.leaks(other, "id", "text", items, "item", ["p"], "a"))) == {(1, 7), (1, 8), (2, 7)}
+
+
+def test_latent_space_finds_what_a_random_one_loses(spark):
+    rng = random.Random(3)
+    names = [f"name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    passages = [" ".join(rng.choice(names if j % 3 == 0 else ["the", "level", "of", "cells", "rose", "in", "mice"]) for j in range(24)) for _ in range(50)]
+    rows = [(i, p, None) for i, p in enumerate(passages)]
+    items = contamination.load_items(rows)
+    idf = np.array([6.0 if w.startswith("name") else 0.3 for w in items.vocabulary])
+    table = spark.createDataFrame([(i, p) for i, p, _ in rows], "item long, p string")
+    space = contamination.latent_space(table, ["p"], items.vocabulary, idf, 96)
+    other = np.linalg.qr(np.random.default_rng(1).normal(size=space.shape))[0].astype(np.float32)
+    windows = np.concatenate([items.runs, np.full((len(items.runs), contamination.WINDOW - contamination.RUN), -1, np.int32)], 1)[::5].copy()
+    windows[:, 4] = -1  # one word in twelve is changed
+    recall = {}
+    for name, basis in (("latent", space), ("random", other)):
+        searcher = contamination.Searcher(items, idf.astype(np.float32), basis, np.zeros(len(idf), bool), 0.35, 0.2)
+        w, q = searcher.candidates(windows)
+        hit = {i for i, j in zip(w, q, strict=True) if abs(int(searcher.picked[j]) - 5 * i) < contamination.ITEM_STEP}
+        recall[name] = len(hit) / len(windows)
+        # The cells lose next to nothing against brute force.
+        latent = searcher._latent(windows)
+        every = int((latent @ searcher.queries.T >= 0.35).sum())
+        assert len(w) >= 0.9 * every
+    assert recall["latent"] >= 0.9 and recall["random"] <= 0.6
+
+
+def test_common_subsequences():
+    runs = np.array([[1, 2, 3, 4]] * 3)
+    texts = np.array([[9, 1, 2, 9, 3, 4], [4, 3, 2, 1, 9, 9], [1, 9, 9, 2, 9, 4]])
+    assert contamination._common(runs, texts).tolist() == [4, 1, 3]
+
+
 def test_changes_are_edit_distances():
     runs = np.array([[1, 2, 3, 4]] * 4)
     texts = np.array([[9, 1, 2, 3, 4, 9], [1, 2, 9, 3, 4, 9], [1, 3, 4, 9, 9, 9], [1, 9, 9, 9, 9, 9]])
