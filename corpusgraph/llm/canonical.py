@@ -2,8 +2,9 @@
 
 Distinct values are taken first, so the cost of scoring follows the number of different spellings, not of rows. Each is
 normalised, its candidates are retrieved through an inverted index of character n-grams over the spellings of the list
-(terms and the other names their notes give), scored by weighted cosine, and accepted above a threshold and a margin to
-the best candidate of another term. What is left is reported as unmatched.
+(terms, the other names their notes give, and both with one slip of the pen), scored by weighted cosine, and accepted above
+a threshold and a margin to the best candidate of another term. What is left is reported as unmatched. The threshold is
+calibrated on the list itself: spellings with two slips must pass, and terms that the list would lack must not.
 """
 
 from __future__ import annotations
@@ -13,32 +14,24 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import is_blank
+from corpusgraph.operators.routing import TYPE_NAMES
 
 UNMATCHED = "unmatched"
 
 #: Words that turn a statement into its opposite, or deny it.
 NEGATIONS = frozenset("not no non never without lacks lack absent independent unaffected uncorrelated unrelated neither nor cannot".split())
-#: Words that carry no meaning of their own in a type or relation name.
-FILLERS = frozenset("a an the is are was were be been being of to for in by with on into from as form related name site state kind value molecule".split())
-#: Headings of the columns, which are no values.
-HEADINGS = frozenset(("entity", "type", "kind", "label", "relation", "value"))
-#: Irregular forms.
-IRREGULAR = {"bound": "binds", "led": "leads", "fell": "falls", "rose": "rises", "kept": "keeps", "made": "makes", "neg": "negative", "pos": "positive"}
-#: Names that earlier runs gave some entity types.
-FORMER = {"phenology": "phenotype", "clinical_trial": "method", "pathogen": "species", "health_factor": "health_factors", "physology": "physiology"}
 #: Label prefixes and trailing remarks around a value.
 _PREFIX = re.compile(r"^(?:type|entity|relation|label|value|class)\s*[=:]\s*")
 _REMARK = re.compile(r"(?:\s*[(\[][^()\[\]]*[)\]])+$")
 _INITIALS = re.compile(r"(?<![^_])[a-z](?:_[a-z])+(?![^_])")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]{2})")
-_ENDINGS = re.compile(r"(?:ations?|ated|ating|ates?|ions?|ings?|ences?|ances?|ively|ive|ly|ed|es|s|ical|ic|al|aceous|ous|ies|y|e)$")
 
 
 def normalise(value: str) -> str:
@@ -54,158 +47,130 @@ def normalise(value: str) -> str:
     return _INITIALS.sub(lambda m: m[0].replace("_", ""), words)
 
 
-def stem(word: str) -> str:
-    """A word without its inflection, never shorter than three letters, and without a doubled last letter."""
-    word, previous = IRREGULAR.get(word, word), None
-    while previous != word:
-        previous = word
-        cut = _ENDINGS.sub("", word)
-        if len(cut) >= 3:
-            word = cut
-    return word[:-1] if len(word) > 4 and word[-1] == word[-2] else word
-
-
 def grams(text: str) -> Counter:
     """Runs of two and of three characters, with both ends marked."""
     padded = f"^{text.replace('_', ' ')}$"
     return Counter(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
 
 
-def edits(a: str, b: str, limit: int) -> int:
-    """Changes, drops, insertions and swaps that make ``b`` of ``a``; above ``limit`` it is limit + 1.
+def slips(text: str) -> list[str]:
+    """The text with one character dropped, doubled, or swapped with the next; none of three characters or fewer, of which
+    a slip makes another word."""
+    if len(text) <= 3:
+        return []
+    out = {text[:i] + text[i + 1 :] for i in range(len(text))} | {text[:i] + text[i] + text[i:] for i in range(len(text))}
+    out |= {text[:i] + text[i + 1] + text[i] + text[i + 2 :] for i in range(len(text) - 1)}
+    return sorted(out - {text, ""})
+
+
+def turned(spelling: str) -> list[str]:
+    """The two words of a name the other way round, as in ``type of cell``."""
+    words = spelling.split("_")
+    return [f"{words[1]}_of_{words[0]}"] if len(words) == 2 and len(words[1]) > 3 else []
+
 
-    Letters may be dropped or inserted between two that are swapped (the unrestricted distance of Damerau).
-    """
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    far = len(a) + len(b)
-    table = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
-    for i in range(len(a) + 1):
-        table[i + 1][1] = i
-    for j in range(len(b) + 1):
-        table[1][j + 1] = j
-    seen: dict[str, int] = {}
-    for i, x in enumerate(a, 1):
-        same = 0
-        for j, y in enumerate(b, 1):
-            above, at = seen.get(y, 0), same
-            if x == y:
-                same = j
-            table[i + 1][j + 1] = min(
-                table[i][j] + (x != y),
-                table[i + 1][j] + 1,
-                table[i][j + 1] + 1,
-                table[above][at] + (i - above - 1) + 1 + (j - at - 1),
-            )
-        seen[x] = i
-    return min(table[-1][-1], limit + 1)
-
-
-def stems(text: str) -> frozenset[str]:
-    """The stems of the words that carry meaning; ``co`` belongs to the word after it."""
-    return frozenset(stem(w) for w in re.sub(r"(?<![^_])co_", "co", text).split("_") if w not in FILLERS)
-
-
-@dataclass
 class Index:
-    """The spellings of a reference list behind an inverted index of their n-grams."""
-
-    spellings: dict[str, str]
-    postings: dict[str, list[tuple[int, float]]] = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.names = list(self.spellings)
-        every = [grams(s) for s in self.names]
-        found = Counter(g for gs in every for g in gs)
-        self.weight = {g: math.log(1 + len(every) / c) for g, c in found.items()}
-        self.unseen = math.log(1 + len(every))
-        self.postings = defaultdict(list)
-        for i, gs in enumerate(every):
-            norm = self.norm(gs)
-            for g, c in gs.items():
-                self.postings[g].append((i, c * self.weight[g] / norm))
-        self.words = [stems(s) for s in self.names]
+    """The spellings of a reference list, as they are, with a slip and turned round, behind an inverted index of their n-grams."""
+
+    def __init__(self, spellings: dict[str, str]) -> None:
+        self.spellings = spellings
+        self.terms = sorted(set(spellings.values()))
+        place = {t: i for i, t in enumerate(self.terms)}
+        found = Counter(g for s in spellings for g in grams(s))
+        self.weight = {g: math.log(1 + len(spellings) / c) for g, c in found.items()}
+        self.unseen = math.log(1 + len(spellings))
+        lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        owners: list[int] = []
+        for spelling, term in spellings.items():
+            for form in (spelling, *slips(spelling), *turned(spelling)):
+                gs = grams(form)
+                norm = self.norm(gs)
+                for g, c in gs.items():
+                    lists[g].append((len(owners), c * self.weight.get(g, self.unseen) / norm))
+                owners.append(place[term])
+        self.owners = np.array(owners, np.int64)
+        self.postings = {g: (np.array([i for i, _ in p], np.int64), np.array([w for _, w in p])) for g, p in lists.items()}
 
     def norm(self, gs: Counter) -> float:
         return math.sqrt(sum((c * self.weight.get(g, self.unseen)) ** 2 for g, c in gs.items()))
 
-    def scores(self, text: str) -> dict[int, float]:
-        """Weighted cosine with every spelling that shares an n-gram."""
+    def scores(self, text: str) -> np.ndarray:
+        """The weighted cosine of each term's best form with a normalised value."""
         gs = grams(text)
-        norm, out = self.norm(gs), defaultdict(float)
-        for g, c in gs.items():
-            for i, w in self.postings.get(g, ()):
-                out[i] += c * self.weight[g] / norm * w
-        return out
+        norm = self.norm(gs)
+        met = [(*self.postings[g], c * self.weight.get(g, self.unseen) / norm) for g, c in gs.items() if g in self.postings]
+        best = np.zeros(len(self.terms))
+        if met:
+            forms = np.bincount(np.concatenate([i for i, _, _ in met]), np.concatenate([w * x for _, w, x in met]), len(self.owners))
+            np.maximum.at(best, self.owners, forms)
+        return best
+
+    def calibrated(self) -> float:
+        """The threshold that best parts misspellings of terms from terms that the list would lack.
+
+        The former are spellings with two slips and their own term's score, the latter spellings and the best score of
+        another term. Of thresholds that err within two hundredths of the fewest errors, the lowest.
+        """
+        own, other = [], []
+        for n, (spelling, term) in enumerate(self.spellings.items()):
+            at = self.terms.index(term)
+            once = slips(spelling)
+            for i in range(n % 7, len(once), 7):
+                twice = slips(once[i])
+                if twice:
+                    own.append(self.scores(twice[(i * 5 + n) % len(twice)])[at])
+            other.append(max(np.delete(self.scores(spelling), at), default=0.0))
+        if not own:
+            return 1.0
+        cuts = np.unique(np.concatenate((own, other)))
+        errors = [np.mean(np.array(own) < c) + np.mean(np.array(other) >= c) for c in cuts]
+        return float(cuts[np.nonzero(np.array(errors) <= min(errors) + 0.02)[0][0]])
 
 
-@dataclass(frozen=True)
 class Matcher:
     """Accepts the closest term of one kind, or none."""
 
-    index: Index
-    threshold: float = 0.55
-    margin: float = 0.08
+    def __init__(self, index: Index, threshold: float | None = None, margin: float = 0.03) -> None:
+        self.index, self.margin = index, margin
+        self.threshold = index.calibrated() if threshold is None else threshold
+
+    def closest(self, value: str) -> list[tuple[float, str]]:
+        """Up to two pairs (score, term) that score highest, ties by name; none for what can mean no term."""
+        text = normalise(value)
+        if not text or NEGATIONS & set(text.split("_")) or not self.index.terms:
+            return []
+        if text in self.index.spellings:
+            return [(1.0, self.index.spellings[text])]
+        scores = self.index.scores(text)
+        best = sorted(np.argpartition(-scores, min(2, len(scores) - 1))[:2].tolist(), key=lambda i: (-scores[i], i))
+        return [(float(min(scores[i], 0.999)), self.index.terms[i]) for i in best if scores[i] > 0]
 
     def match(self, value: str) -> tuple[str, float]:
         """(term or ``unmatched``, score). A tie between terms is no match."""
-        text = normalise(value)
-        if not text:
-            return UNMATCHED, 0.0
-        index = self.index
-        if text in index.spellings:
-            return index.spellings[text], 1.0
-        words = text.split("_")
-        if text in HEADINGS or NEGATIONS & set(words) or re.match(r"(?:do|does|did)_", text):
+        best = self.closest(value)
+        if not best:
             return UNMATCHED, 0.0
-        joined, meant = text.replace("_", ""), stems(text)
-        best: dict[str, float] = {}
-        for i, cosine in index.scores(text).items():
-            name = index.names[i]
-            score = max(cosine, self.spelled(text, joined, name))
-            if meant and meant == index.words[i]:
-                score = max(score, 0.95)
-            term = index.spellings[name]
-            best[term] = max(best.get(term, 0.0), score)
-        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
-        if not ranked or ranked[0][1] < self.threshold:
-            return UNMATCHED, ranked[0][1] if ranked else 0.0
-        if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < self.margin:
-            return UNMATCHED, ranked[0][1]
-        return ranked[0]
-
-
-    @staticmethod
-    def spelled(text: str, joined: str, name: str) -> float:
-        """Likeness by slips of the pen: at most one in three letters and three in all; more say nothing."""
-        flat = name.replace("_", "")
-        allowed = min(3, len(flat) // 3 if len(flat) > 4 else len(flat) // 4)
-        slips = edits(joined, flat, allowed)
-        if slips > allowed:
-            return 0.0
-        apart = edits(text, name, allowed + 1)
-        return 1 - 1.5 * slips / (len(flat) + 1) - 0.1 * max(0, apart - slips)
+        clear = best[0][0] >= self.threshold and (len(best) < 2 or best[0][0] - best[1][0] >= self.margin)
+        return best[0][1] if clear else UNMATCHED, best[0][0]
 
 
 def spellings(terms: list[tuple[str, str | None]]) -> dict[str, str]:
-    """Normalised spelling -> term: the terms and the other names a note lists after ``also``; a term's own name wins."""
+    """Normalised spelling -> term: the terms and the other names a note lists after ``also``; a term's own name wins.
+    Names that earlier runs gave some entity types belong to the terms that replaced them."""
     out: dict[str, str] = {}
     for term, note in terms:
         for other in re.split(r"[,;]", note.partition("also ")[2]) if note and "also " in note else []:
             if normalise(other):
                 out.setdefault(normalise(other), term)
     names = {term for term, _ in terms}
-    out |= {former: term for former, term in FORMER.items() if term in names and former not in out}
-    return out | {normalise(term): term for term in sorted(names, reverse=True)}
+    out |= {normalise(old): term for old, term in TYPE_NAMES.items() if term in names and normalise(old) not in out}
+    return out | {normalise(term): term for term in sorted(names, reverse=True) if normalise(term)}
 
 
-def matchers(reference: DataFrame, kind: str = "kind", term: str = "term", note: str = "note", most: int = 20_000, **limits: float) -> dict[str, Matcher]:
-    """A matcher for each kind of a reference list. The list is a dictionary made by hand: above ``most`` rows it is refused."""
-    rows = reference.select(F.col(kind), F.col(term), F.col(note)).where(F.col(kind).isNotNull() & F.col(term).isNotNull()).orderBy(kind, term, note).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the reference list has more than {most} rows")
+def matchers(reference: DataFrame, kind: str = "kind", term: str = "term", note: str = "note", **limits: float) -> dict[str, Matcher]:
+    """A matcher for each kind of a reference list. The list is a dictionary made by hand, so it is held in memory."""
     by_kind: dict[str, list[tuple[str, str | None]]] = defaultdict(list)
-    for k, t, n in rows:
+    for k, t, n in reference.select(F.col(kind), F.col(term), F.col(note)).where(F.col(kind).isNotNull() & F.col(term).isNotNull()).orderBy(kind, term, note).collect():
         by_kind[k].append((t, n))
     return {k: Matcher(Index(spellings(v)), **limits) for k, v in by_kind.items()}
 
@@ -224,7 +189,9 @@ def map_values(values: DataFrame, by_kind: dict[str, Matcher]) -> DataFrame:
             found = [by_kind[k].match(v) if k in by_kind else (UNMATCHED, 0.0) for k, v in zip(batch["kind"], batch["value"], strict=True)]
             yield batch[["kind", "value"]].assign(term=[t for t, _ in found], score=[float(s) for _, s in found])
 
-    return values.select("kind", "value").mapInPandas(run, "kind string, value string, term string, score double")
+    # A number of its own, so that few values are still spread over all cores.
+    spread = values.select("kind", "value").repartition(values.sparkSession.sparkContext.defaultParallelism * 2, "value")
+    return spread.mapInPandas(run, "kind string, value string, term string, score double")
 
 
 def canonical_rows(rows: DataFrame, key: str, reference: DataFrame, kinds: dict[str, str], **limits: float) -> DataFrame:
