@@ -11,6 +11,7 @@ too empty, a few for each group, are emptied again and their items packed togeth
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,6 +24,8 @@ from corpusgraph.session import durable
 
 #: Fixed value: how byte-level BPE divides a text before it merges bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: a tag of markup.
+MARKUP = re.compile(r"</?[A-Za-z][^<>]*>")
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -37,15 +40,25 @@ def tokenizer(path: str):
 
 
 def token_counts(texts: DataFrame, key: str, text: str, ranks: str = RANKS) -> DataFrame:
-    """(key, tokens) for every row; a null or empty text has no tokens. ``ranks`` must be readable on every executor."""
+    """(key, tokens, loss) for every row; a null or empty text has no tokens. ``ranks`` must be readable on every executor.
+
+    Loss-bearing are the tokens of a text without its markup, and of equal texts only those of the one with the smallest
+    key, so that nothing is learned twice. For this, hashes of texts are shuffled, not texts.
+    """
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokenizer(ranks).encode_ordinary
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "tokens": [len(encode(t)) if t else 0 for t in batch["text"]]})
+            tokens = [len(encode(t)) if t else 0 for t in batch["text"]]
+            bare = [len(encode(MARKUP.sub("", t))) if "<" in t else n for t, n in zip(batch["text"], tokens, strict=True)]
+            yield pd.DataFrame({"key": batch["key"], "same": batch["same"], "tokens": tokens, "bare": np.minimum(bare, tokens)})
 
-    return texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, f"key {kind}, tokens bigint")
+    value = F.coalesce(F.col(text), F.lit(""))
+    shown = texts.select(F.col(key).alias("key"), value.alias("text"), F.md5(value).alias("same"))
+    counted = durable(shown.mapInPandas(run, f"key {kind}, same string, tokens bigint, bare bigint"))
+    first = counted.groupBy("same").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("first"))
+    return counted.join(first, "key", "left").select("key", "tokens", F.when(F.col("first"), F.col("bare")).otherwise(0).alias("loss"))
 
 
 def fill(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +67,8 @@ def fill(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
     Items with equal demands are one kind, so a step costs as much as there are kinds that are left. Among equally good
     kinds the larger comes first, and of one kind the earlier item, so equal input gives equal output.
     """
+    if (demands > limits).any():
+        raise ValueError("an item exceeds a limit by itself")
     kinds, kind = np.unique(-demands, axis=0, return_inverse=True)
     kinds, kind = -kinds, kind.ravel()
     members = np.argsort(kind, kind="stable")
@@ -90,20 +105,22 @@ def pieces(counts: DataFrame, capacity: int) -> DataFrame:
     return cut.withColumn("tokens", F.least(F.col("tokens") - F.col("piece") * capacity, F.lit(capacity)).cast("bigint"))
 
 
-def _round(items: DataFrame, group: str, limits: tuple[int, int, int]) -> DataFrame:
+def _round(items: DataFrame, group: str, groups: int, limits: tuple[int, int, int]) -> DataFrame:
     """(group, key, piece, tokens, loss, local, position, used): a packing of each group by itself."""
     kind = items.schema["key"].dataType.simpleString()
     most = np.array(limits, np.int64)
 
     def pack(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["key", "piece"], ignore_index=True)
-        demands = np.stack((batch["tokens"].to_numpy(), np.ones(len(batch), np.int64), batch["loss"].to_numpy()), 1)
+        demands = np.stack((batch["tokens"].to_numpy(), np.ones(len(batch), np.int64), np.minimum(batch["loss"].to_numpy(), most[2])), 1)
         container, position = fill(demands, most)
         used = np.bincount(container, batch["tokens"].to_numpy(), minlength=container.max() + 1)
         return batch.assign(local=container, position=position, used=used[container].astype(np.int64))
 
     schema = f"group bigint, key {kind}, piece int, tokens bigint, loss bigint, local bigint, position bigint, used bigint"
-    return items.select(F.expr(group).cast("bigint").alias("group"), "key", "piece", "tokens", "loss").groupBy("group").applyInPandas(pack, schema)
+    named = items.select(F.expr(group).cast("bigint").alias("group"), "key", "piece", "tokens", "loss")
+    # As many tasks as groups, whatever their size; a number of its own is not coalesced.
+    return named.repartition(groups, "group").groupBy("group").applyInPandas(pack, schema)
 
 
 def pack(
@@ -113,7 +130,8 @@ def pack(
 
     ``loss`` is the limit on loss-bearing tokens, by default the capacity; without a column ``loss`` all tokens bear loss.
     Containers are numbered from 0 without gaps, positions from 0 in each. An item without tokens takes no room, but a
-    segment. ``key`` must be unique. No limit is ever exceeded, and no item of at most ``capacity`` is split; pieces of a
+    segment. ``key`` must be unique. No limit is ever exceeded, but by an item that has more loss-bearing tokens than
+    ``loss`` by itself: it is not split for that, and only items without any join it. No item of at most ``capacity`` is split; pieces of a
     larger one are numbered in ``piece``, and of its loss-bearing tokens each piece bears its share, rounded up. An empty
     table gives no rows. Other columns, whatever their names, are not read.
 
@@ -132,7 +150,7 @@ def pack(
         if not number and kept:
             break
         groups = max(1, -(-number // per_group))
-        packed = durable(_round(left, f"pmod(xxhash64(key, piece, {at}), {groups})", limits))
+        packed = durable(_round(left, f"pmod(xxhash64(key, piece, {at}), {groups})", groups, limits))
         if at == 2 or groups == 1:
             kept.append(packed.withColumn("round", F.lit(at)))
             break

@@ -27,7 +27,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    return tf.term_frequencies(_table(spark, folder, "triples"), "pmid", TERMS)
+    """The counts of all terms, with a layout for each quarter in which triples were extracted."""
+    return tf.term_frequencies(_table(spark, folder, "triples"), "pmid", TERMS, batch=F.quarter("extracted_at"))
 
 
 LABELLED = ("rec_id", ["title", "abstract"], "lang")
@@ -104,9 +105,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """The container and position of every text, in pieces where it exceeds 2,048 tokens."""
+    """The container and position of every text, in pieces where it exceeds 2,048 tokens. A container takes 24 segments and
+    2,000 loss-bearing tokens at most."""
     counts = packing.token_counts(_table(spark, folder, "documents"), "doc_id", "text")
-    return packing.pack(counts).withColumnRenamed("key", "doc_id")
+    return packing.pack(counts, 2048, 24, 2000).withColumnRenamed("key", "doc_id")
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,8 @@ CONTAINER = 1 << 15
 SPARSE = 1 << 10
 
 
-def occurrences(rows: DataFrame, record: str, terms: dict[str, str]) -> DataFrame:
-    """(kind, term, record, n): how often each record holds each term.
+def occurrences(rows: DataFrame, record: str, terms: dict[str, str], batch: Column | None = None) -> DataFrame:
+    """(batch, kind, term, record, n): how often each record holds each term in each batch, of which there may be none.
 
     ``terms`` maps a column to the kind its values belong to; columns of one kind are counted together. Values and
     records are stripped of white space of any sort; blank values are skipped; a blank or null record gives null, which
@@ -37,10 +37,10 @@ def occurrences(rows: DataFrame, record: str, terms: dict[str, str]) -> DataFram
         F.array(*[F.struct(F.lit(kind).alias("kind"), pystrip(F.col(c).cast("string")).alias("term")) for c, kind in terms.items()])
     )
     return (
-        rows.select(F.nullif(pystrip(F.col(record).cast("string")), F.lit("")).alias("record"), pairs.alias("p"))
-        .select("p.kind", "p.term", "record")
+        rows.select((F.lit("") if batch is None else batch.cast("string")).alias("batch"), F.nullif(pystrip(F.col(record).cast("string")), F.lit("")).alias("record"), pairs.alias("p"))
+        .select("batch", "p.kind", "p.term", "record")
         .where("term != ''")
-        .groupBy("kind", "term", "record")
+        .groupBy("batch", "kind", "term", "record")
         .agg(F.count("*").alias("n"))
     )
 
@@ -94,14 +94,14 @@ def _settled(groups: DataFrame) -> DataFrame:
 
 
 def layout(counted: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(kind, term, container, n, list, bitmap): the vertical layout of what ``occurrences`` gave.
+    """(kind, term, container, n, list, bitmap): the vertical layouts of what ``occurrences`` gave, one for each batch.
 
     Container null holds the occurrences outside any record. A list and a bitmap are never both present, and neither can
     outgrow a task: a container has 2**15 positions at most.
     """
     return _settled(
         counted.join(numbers, "record", "left")
-        .groupBy("kind", "term", "container")
+        .groupBy("batch", "kind", "term", "container")
         .agg(F.sum("n").alias("n"), F.collect_list("position").alias("list"))
         .withColumn("bitmap", F.lit(None).cast("binary"))
     )
@@ -142,13 +142,14 @@ def marked(counts: DataFrame, total: DataFrame, rare_below: int = 3, common_abov
 
 
 def term_frequencies(
-    rows: DataFrame, record: str, terms: dict[str, str], rare_below: int = 3, common_above: float = 0.4, buckets: int = 256
-) -> DataFrame:
+    rows: DataFrame, record: str, terms: dict[str, str], rare_below: int = 3, common_above: float = 0.4, buckets: int = 256, batch: Column | None = None
+) -> DataFrame:
     """(kind, term, occurrences, records, mark) for every distinct term of ``rows``; see ``occurrences`` and ``marked``.
 
-    The collection is every distinct record that is not blank, whether or not it holds a term.
+    The collection is every distinct record that is not blank, whether or not it holds a term. A layout is built for each
+    ``batch`` of rows, and the layouts are merged by union.
     """
     records = rows.select(F.nullif(pystrip(F.col(record).cast("string")), F.lit("")).alias("record"))
     numbers = durable(number_records(records, buckets))
-    counts = frequencies(layout(occurrences(rows, record, terms), numbers))
+    counts = frequencies(union([layout(occurrences(rows, record, terms, batch), numbers)]))
     return marked(counts, numbers.agg(F.count("*").alias("total")), rare_below, common_above)
