@@ -150,13 +150,19 @@ def fit(rows: list[list[int]], at_limit: list[bool], rounds: int = 300, rate: fl
     return weights
 
 
+def _sampled(rows: DataFrame, key: str, count: int, most: int) -> DataFrame:
+    """At most ``most`` of ``count`` rows, by the hash of the key; little more than those are sorted."""
+    share = max(1, count // (2 * most))
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(share)) == 0).orderBy(F.xxhash64(key), key).limit(most)
+
+
 def _cut_at_limits(texts: DataFrame, key: str, text: str, limits: DataFrame, most: int) -> DataFrame:
     """At most ``most`` texts that are longer than some limit, cut at one of the limits, both chosen by the hash of the key."""
     sizes = limits.where("measure = 'chars'").select("size").distinct().orderBy(F.xxhash64("size")).limit(most)
     one = sizes.agg(F.sort_array(F.collect_list("size")).alias("sizes"))
     size = F.get("sizes", F.pmod(F.xxhash64(key, F.lit("size")), F.size("sizes")).cast("int"))
     longer = texts.select(key, text).crossJoin(F.broadcast(one)).where(F.size("sizes") > 0).withColumn("at", size).where(F.length(text) > F.col("at"))
-    chosen = longer.orderBy(F.xxhash64(key), key).limit(most)
+    chosen = _sampled(longer, key, longer.count(), most)
     return chosen.select(F.col(key), F.left(F.col(text), F.col("at")).alias(text), F.lit(None).cast("string").alias("source"))
 
 
@@ -192,7 +198,8 @@ def truncated(
     made = _featured(made.select("key", "source", "sign", F.lit(True).alias("limit"), "behind", "alone", F.lit(False).alias("usual")))
     sample = made.select("features", "limit")
     for at in (True, False):
-        sample = sample.unionByName(judged.where(~F.col("sign") & (F.col("limit") == at)).orderBy(F.xxhash64("key"), "key").limit(most).select("features", "limit"))
+        some = judged.where(~F.col("sign") & (F.col("limit") == at))
+        sample = sample.unionByName(_sampled(some, "key", some.count(), most).select("features", "limit"))
     rows = sample.collect()
     weights = fit([r["features"] for r in rows], [r["limit"] for r in rows])
     return _flagged(judged, weights).select(F.col("key").alias(key), F.col("source").alias(source), F.when(F.col("limit"), "limit").otherwise("transfer").alias("reason"), "sign")
