@@ -164,6 +164,40 @@ def test_many_copies_make_one_class(spark):
     assert found.count() == 0 and members.where("class = 0").count() == 1500 and members.where("copies = 1500").count() == 1500
 
 
+def shuffled(spark):
+    """Bytes that tasks of this session have written for shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_near_duplicates_move_only_rarest_shingles(spark, got, monkeypatch):
+    """Per text of 160 shingles hardly more than four bytes of each move, however many passes the pairs take."""
+    monkeypatch.setattr(near_duplicates.anchors, "SAMPLE", 100)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{j}" for j in range(60)], k=160)) for _ in range(3000)]
+    texts += [t.replace("w1 ", "w99 ") for t in texts[:100]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    df = df.localCheckpoint()
+    before = shuffled(spark)
+    found, members = near_duplicates.near_duplicates(df, "id", F.col("text"), 3, 0.5)
+    pairs = got(near_duplicates.expanded(found, members))
+    assert {(i, 3000 + i) for i in range(100)} == set(pairs) and shuffled(spark) - before < 2500 * len(texts)
+    monkeypatch.setattr(near_duplicates.anchors, "PASS_BYTES", 2000)
+    monkeypatch.setattr(near_duplicates.anchors, "PASS_SHARE", 0)
+    found, members = near_duplicates.near_duplicates(df.where("id % 3000 < 100"), "id", F.col("text"), 3, 0.5)
+    assert got(near_duplicates.expanded(found, members)) == pairs
+
+
+def test_anchors_of_long_texts_and_common_tokens():
+    """Sets of over 65,535 tokens, and pairs whose keys or tokens agree by chance in 32 bits, lose nothing."""
+    n = np.array([70_000, 69_999])
+    need = near_duplicates.anchors.needed(n, 0.5)
+    token, h = np.repeat(np.arange(need[0], dtype=np.uint32), 2), np.tile(np.array([7, 7], np.uint32), need[0])
+    parts = list(near_duplicates.anchors.met(token, h, np.tile(n, need[0]), np.repeat(np.arange(need[0]), 2), 0.5, 0, near_duplicates.anchors.SHARES))
+    ids, sums = near_duplicates.anchors._summed([p[0] for p in parts], [p[1] for p in parts])
+    assert ids.tolist() == [(7 << 32) | 7] and sums.tolist() == [near_duplicates.anchors.WHOLE]
+
+
 @pytest.mark.parametrize("cuts", [[], ["b2"], ["b1", "b2", "b3"]])
 def test_history_finds_what_all_batches_at_once_hold(spark, got, cuts):
     texts = corpus(2, 48)
