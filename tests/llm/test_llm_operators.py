@@ -222,6 +222,17 @@ def test_history_is_taken_up_again(spark, tmp_path):
     assert add(again, "b = 'c'").count() == 0 and again.found().count() == 1 and history.History(spark, path, 3, 0.5).steps == 3
 
 
+def test_history_keeps_no_token_sets(spark, tmp_path):
+    """The index takes less than the eight bytes of each of the 160 shingles of its texts, and a step leaves nothing else."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{j}" for j in range(60)], k=162)) for _ in range(2000)]
+    df = spark.createDataFrame([(i, "a" if i < 1990 else "b", t) for i, t in enumerate([*texts[:1990], *texts[:10]])], "id long, b string, t string")
+    index = history.History(spark, f"file://{tmp_path}/index", 3, 0.5, buckets=4)
+    found = [index.add(df.where(F.col("b") == b), "id", "b", F.col("t"), F.lit(None).cast("bigint")) for b in "ab"]
+    assert [f.count() for f in found] == [0, 10] and not {"incoming", "near", "first", "pairs"} & {p.name for p in (tmp_path / "index").iterdir()}
+    assert sum(p.stat().st_size for p in (tmp_path / "index").rglob("*.parquet")) < 160 * 8 * len(texts)
+
+
 def test_history_keeps_pairs_exactly_at_the_threshold(spark, got):
     text = lambda n: " ".join(f"w{i}" for i in range(n))
     df = spark.createDataFrame([(1, "a", text(35)), (2, "b", text(28))], "id long, b string, t string")
