@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -119,14 +120,19 @@ class Lookup:
     def _part(self, ids: np.ndarray, owners: np.ndarray) -> set[tuple[int, int]]:
         if len(ids) < self.length:
             return set()
-        rows = np.lib.stride_tricks.sliding_window_view(ids, self.length)
+        # A run holds no other words, so only the places are looked up where none stands.
+        other = np.cumsum(np.append(0, ids < 0))
+        places = np.flatnonzero(other[self.length :] == other[: -self.length])
+        rows = np.lib.stride_tricks.sliding_window_view(ids, self.length)[places]
         hashes = _hashes(rows)
         low = np.searchsorted(self.hashes, hashes, "left")
-        n = np.searchsorted(self.hashes, hashes, "right") - low
+        hit = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes)
+        places, rows, low = places[hit], rows[hit], low[hit]
+        n = np.searchsorted(self.hashes, hashes[hit], "right") - low
         at = np.repeat(np.arange(len(rows)), n)
         r = self.order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(at))]
         same = (self.starts[r] == rows[at]).all(1)
-        return set(zip(owners[at[same]].tolist(), self.item[r[same]].tolist(), strict=True))
+        return set(zip(owners[places[at[same]]].tolist(), self.item[r[same]].tolist(), strict=True))
 
 
 def encoded(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int]) -> DataFrame:
@@ -135,7 +141,7 @@ def encoded(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = vocabulary.get
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "ids": [np.fromiter((get(w, -1) for w in words(t)), np.int32).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"key": batch["key"], "ids": [np.fromiter(map(get, words(t), repeat(-1)), np.int32).tobytes() for t in batch["text"]]})
 
     kind = documents.schema[key].dataType.simpleString()
     shown = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")

@@ -355,6 +355,15 @@ def test_tokens_round_trip(spark):
 # Held-out items
 
 
+def test_only_places_without_other_words_are_looked_up(monkeypatch):
+    items = contamination.load_items([(7, " ".join(f"w{i}" for i in range(20)), None)])
+    lookup = contamination.Lookup(items, contamination.RUN)
+    hashed = []
+    monkeypatch.setattr(contamination, "_hashes", lambda rows, real=contamination._hashes: hashed.append(len(rows)) or real(rows))
+    ids = [np.array([*[-1] * 50, *range(3, 15), -1, *range(11), *[-1] * 50], np.int32), np.array([*range(11), -1], np.int32), np.arange(20, dtype=np.int32)]
+    assert lookup.found([i.tobytes() for i in ids]) == {(0, 7), (2, 7)} and sum(hashed) == 1 + 9
+
+
 def test_leaks(spark, got):
     names = [f"zanqu{chr(97 + i)}telin" for i in range(12)]
     passage = f"Serum {names[0]} rose when {names[1]} was given to the mice and the level of {names[2]} fell by half in all the {names[3]} cells that were left."
